@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from legistra.llm import fusion, quantiles, splits
+from legistra.llm import cross_split, fusion, quantiles, splits
 from legistra.sources.tables import table
 
 
@@ -18,6 +18,14 @@ def p1_report(spark, sf):
     return splits.split_report(p1_splits(spark, sf))
 
 
+def p2_found(spark, sf):
+    return cross_split.cross_split_pairs(table(spark, sf, "gt_items"), table(spark, sf, "gt_splits"))
+
+
+def p2_report(spark, sf):
+    return cross_split.overlap_report(p2_found(spark, sf), table(spark, sf, "gt_items"), table(spark, sf, "gt_splits"))
+
+
 def p6_found(spark, sf):
     return fusion.first_of_each(fusion.fused(table(spark, sf, "retrieved")))
 
@@ -34,7 +42,7 @@ def p7_percentiles(spark, sf):
     return quantiles.run_percentiles(table(spark, sf, "query_runs"))
 
 
-_ALL = [p1_found, p1_splits, p1_report, p6_found, p6_ranking, p7_found, p7_percentiles]
+_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p6_found, p6_ranking, p7_found, p7_percentiles]
 
 FUSED = """
 WITH c AS (SELECT DISTINCT query_id, cand_id, bm25_score::DOUBLE AS s1, dense_score::DOUBLE AS s2, llm_score::DOUBLE AS s3, -rerank_position::DOUBLE AS s4 FROM retrieved),
