@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from legistra.llm import cross_split, fusion, quantiles, splits
+from legistra.llm import contamination, cross_split, fusion, quantiles, splits
 from legistra.sources.tables import table
 
 
@@ -42,7 +42,15 @@ def p7_percentiles(spark, sf):
     return quantiles.run_percentiles(table(spark, sf, "query_runs"))
 
 
-_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p6_found, p6_ranking, p7_found, p7_percentiles]
+def p9_found(spark, sf):
+    return contamination.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_report(spark, sf):
+    return contamination.leak_report(p9_found(spark, sf))
+
+
+_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p6_found, p6_ranking, p7_found, p7_percentiles, p9_found, p9_report]
 
 FUSED = """
 WITH c AS (SELECT DISTINCT query_id, cand_id, bm25_score::DOUBLE AS s1, dense_score::DOUBLE AS s2, llm_score::DOUBLE AS s3, -rerank_position::DOUBLE AS s4 FROM retrieved),
