@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from legistra.llm import contamination, cross_split, fusion, quantiles, splits
+from legistra.llm import contamination, cross_split, fusion, languages, quantiles, splits
 from legistra.sources.tables import table
 
 
@@ -50,7 +50,20 @@ def p9_report(spark, sf):
     return contamination.leak_report(p9_found(spark, sf))
 
 
-_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p6_found, p6_ranking, p7_found, p7_percentiles, p9_found, p9_report]
+def p10_found(spark, sf):
+    segs = languages.language_segments(table(spark, sf, "documents"), table(spark, sf, "lang_samples"), only_cases=True)
+    return segs.select("doc_id", "seg_no", "lang")
+
+
+def p10_segments(spark, sf):
+    return languages.language_segments(table(spark, sf, "documents"), table(spark, sf, "lang_samples"))
+
+
+def p10_documents(spark, sf):
+    return languages.relabelled(table(spark, sf, "documents"), table(spark, sf, "lang_samples"))
+
+
+_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p6_found, p6_ranking, p7_found, p7_percentiles, p9_found, p9_report, p10_found, p10_segments, p10_documents]
 
 FUSED = """
 WITH c AS (SELECT DISTINCT query_id, cand_id, bm25_score::DOUBLE AS s1, dense_score::DOUBLE AS s2, llm_score::DOUBLE AS s3, -rerank_position::DOUBLE AS s4 FROM retrieved),
