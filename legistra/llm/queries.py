@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from legistra.llm import contamination, cross_split, fusion, languages, quantiles, splits
+from legistra.llm import contamination, cross_split, fusion, languages, quantiles, scans, splits
 from legistra.sources.tables import table
 
 
@@ -26,6 +26,14 @@ def p2_report(spark, sf):
     return cross_split.overlap_report(p2_found(spark, sf), table(spark, sf, "gt_items"), table(spark, sf, "gt_splits"))
 
 
+def p4_found(spark, sf):
+    return scans.scan_findings(table(spark, sf, "nodes"))
+
+
+def p4_paragraphs(spark, sf):
+    return scans.repaired_paragraphs(table(spark, sf, "nodes"))
+
+
 def p6_found(spark, sf):
     return fusion.first_of_each(fusion.fused(table(spark, sf, "retrieved")))
 
@@ -63,7 +71,7 @@ def p10_documents(spark, sf):
     return languages.relabelled(table(spark, sf, "documents"), table(spark, sf, "lang_samples"))
 
 
-_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p6_found, p6_ranking, p7_found, p7_percentiles, p9_found, p9_report, p10_found, p10_segments, p10_documents]
+_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p4_found, p4_paragraphs, p6_found, p6_ranking, p7_found, p7_percentiles, p9_found, p9_report, p10_found, p10_segments, p10_documents]
 
 FUSED = """
 WITH c AS (SELECT DISTINCT query_id, cand_id, bm25_score::DOUBLE AS s1, dense_score::DOUBLE AS s2, llm_score::DOUBLE AS s3, -rerank_position::DOUBLE AS s4 FROM retrieved),
