@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from legistra.llm import contamination, cross_split, fusion, languages, quantiles, scans, splits
+from legistra.llm import contamination, cross_split, fusion, languages, packing, quantiles, scans, splits
 from legistra.sources.tables import table
 
 
@@ -50,6 +50,14 @@ def p7_percentiles(spark, sf):
     return quantiles.run_percentiles(table(spark, sf, "query_runs"))
 
 
+def p8_containers(spark, sf):
+    return packing.packed(table(spark, sf, "documents"), table(spark, sf, "pack_targets"))
+
+
+def p8_report(spark, sf):
+    return packing.fill_report(p8_containers(spark, sf), table(spark, sf, "pack_targets"))
+
+
 def p9_found(spark, sf):
     return contamination.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -71,7 +79,7 @@ def p10_documents(spark, sf):
     return languages.relabelled(table(spark, sf, "documents"), table(spark, sf, "lang_samples"))
 
 
-_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p4_found, p4_paragraphs, p6_found, p6_ranking, p7_found, p7_percentiles, p9_found, p9_report, p10_found, p10_segments, p10_documents]
+_ALL = [p1_found, p1_splits, p1_report, p2_found, p2_report, p4_found, p4_paragraphs, p6_found, p6_ranking, p7_found, p7_percentiles, p8_containers, p8_report, p9_found, p9_report, p10_found, p10_segments, p10_documents]
 
 FUSED = """
 WITH c AS (SELECT DISTINCT query_id, cand_id, bm25_score::DOUBLE AS s1, dense_score::DOUBLE AS s2, llm_score::DOUBLE AS s3, -rerank_position::DOUBLE AS s4 FROM retrieved),
