@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legistra.plans import corpus
+from legistra.plans import corpus, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (corpus,)
+GROUPS = (corpus, search)
 
 
 def queries() -> dict[str, Query]:
@@ -27,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.QUERIES["p5_report"](spark, sf_dir)
+    return search.QUERIES["m_by_type"](spark, sf_dir)
