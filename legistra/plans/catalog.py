@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legistra.plans import corpus, search
+from legistra.plans import analysis, corpus, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (corpus, search)
+GROUPS = (corpus, search, analysis)
 
 
 def queries() -> dict[str, Query]:
