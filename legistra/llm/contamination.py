@@ -8,7 +8,7 @@ are allowed, so no leak stays below it. What is retrieved is then verified word
 order, with fewer than one in eight changed, dropped, added or damaged.
 
 The index holds the evaluation items, at most `slice_items` at a time; more items take more passes over the corpus.
-The corpus is read once a pass and never shuffled, whatever its skew. Null and empty texts hold nothing, and items of
+The corpus is read once a pass and never shuffled, whatever its skew. Null and empty texts hold nothing, rows without an id are left out, and items of
 fewer than 16 words leak nowhere. Repeated documents and items of the same text are each reported.
 """
 
@@ -250,7 +250,7 @@ def holds_run(words: list[str], doc: list[int], item: list[int], seeds: list[tup
 
 def leaks(documents: DataFrame, items: DataFrame, slice_items: int = 4096) -> DataFrame:
     """item_id, doc_id: the documents that hold a part of an item. documents: doc_id, text; items: item_id, text."""
-    rows = items.select("item_id", "text").where("text is not null").orderBy("item_id")
+    rows = items.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id")
     found: DataFrame | None = None
     # the evaluation set is fixed and small; it comes in slices of bounded size whatever it is
     slices: list[list[tuple[int, str]]] = [[]]
@@ -275,7 +275,7 @@ def leaks(documents: DataFrame, items: DataFrame, slice_items: int = 4096) -> Da
                 out += [(i, d) for d, found in zip(ids, own.leaked(texts), strict=True) for i in found]
                 yield pd.DataFrame(out, columns=["item_id", "doc_id"], dtype="int64")
 
-        one = documents.select("doc_id", "text").where("text is not null").mapInPandas(scan, "item_id bigint, doc_id bigint")
+        one = documents.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(scan, "item_id bigint, doc_id bigint")
         found = one if found is None else found.unionByName(one)
     return found.distinct()
 

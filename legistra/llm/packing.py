@@ -6,8 +6,8 @@ range over all tasks and cut into blocks of bounded size; in each block the text
 fullest container that still holds them. Containers that stay too empty are opened again and packed with those of
 the neighbouring blocks, round by round, while that saves space.
 
-A text larger than the capacity is split into full pieces and a rest; no other text is split. Null and empty texts, and
-those without a token, go nowhere. Exact copies are packed like any other text. Targets that are null or not
+A text larger than the capacity is split into full pieces and a rest; no other text is split. Null and empty texts, those
+without a token, and those without an id go nowhere. Exact copies are packed like any other text. Targets that are null or not
 positive are left out.
 """
 
@@ -111,7 +111,7 @@ def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 {"doc_id": pdf["doc_id"], "tokens": [len(encode(t)) for t in texts], "place": [projector.key(t) for t in texts]}
             )
 
-    rows = documents.select("doc_id", "text").where("text is not null and text <> ''")
+    rows = documents.select("doc_id", "text").where("text is not null and text <> '' and doc_id is not null")
     return rows.mapInPandas(scan, "doc_id bigint, tokens bigint, place bigint").where("tokens > 0")
 
 
