@@ -102,7 +102,7 @@ def clean_label(text: str) -> str:
 def longest_prefix(docs: DataFrame, doc: str, categories: DataFrame) -> DataFrame:
     """doc, folder: the category whose prefix followed by a dash begins the id; the longest counts, null if none.
 
-    categories: prefix, folder; a fixed list of at most 1,000 rows.
+    categories: prefix, folder; a fixed list of some tens of rows.
     """
-    pairs = docs.select(doc).distinct().join(F.broadcast(categories.limit(1000)), F.col(doc).startswith(F.concat("prefix", F.lit("-"))), "left")
+    pairs = docs.select(doc).distinct().join(categories, F.col(doc).startswith(F.concat("prefix", F.lit("-"))), "left")
     return pairs.groupBy(doc).agg(F.max_by("folder", F.length("prefix")).alias("folder"))
