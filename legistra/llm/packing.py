@@ -144,9 +144,12 @@ def packed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
     piece_no is 0 for a text that isn't split, and counts from 1 for the pieces of one that is.
     """
     spark = documents.sparkSession
-    goals = targets.where("target_name is not null and capacity_tokens > 0").select("target_name", F.col("capacity_tokens").alias("capacity")).distinct()
+    goals = targets.where("target_name is not null and capacity_tokens > 0").select("target_name", "capacity_tokens").distinct().collect()
     texts = cut(sized(documents, tokenizer))
-    every = texts.crossJoin(F.broadcast(goals.limit(1000)))  # a fixed handful of capacities
+    # the targets are a fixed handful of settings
+    each = [F.struct(F.lit(g.target_name).alias("target_name"), F.lit(g.capacity_tokens).cast("bigint").alias("capacity")) for g in goals]
+    no_goal = F.array().cast("array<struct<target_name:string,capacity:bigint>>")
+    every = texts.select("*", F.inline(F.array(*each) if each else no_goal))
     whole, rest = F.floor(F.col("tokens") / F.col("capacity")), F.col("tokens") % F.col("capacity")
     numbers = F.when(F.col("tokens") <= F.col("capacity"), F.array(F.lit(0).cast("bigint"))).otherwise(
         F.sequence(F.lit(1).cast("bigint"), whole + F.when(rest > 0, 1).otherwise(0))

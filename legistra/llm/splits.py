@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legistra.functions.ids import gold_docs
@@ -137,5 +137,6 @@ def assign_splits(groups: DataFrame, proportions: Mapping[str, float] = PROPORTI
 def split_report(assigned: DataFrame) -> DataFrame:
     """split_name, n_records, n_groups, share."""
     by = assigned.groupBy("split_name").agg(F.count("*").alias("n_records"), F.count_distinct("group_doc").alias("n_groups"))
-    total = assigned.agg(F.count("*").alias("total"))
-    return by.crossJoin(total).select("split_name", "n_records", "n_groups", F.round(F.col("n_records") / F.col("total"), 4).alias("share"))
+    # three splits, so this window holds three rows
+    total = F.sum("n_records").over(Window.partitionBy(F.lit(1)))
+    return by.select("split_name", "n_records", "n_groups", F.round(F.col("n_records") / total, 4).alias("share"))
