@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from legistra.functions.ids import canonical_doc, canonical_node, gold_doc
 from legistra.operators import corpus_tables as ct
+from legistra.operators import provisions as pv
 from legistra.operators import quality as dq
 from legistra.operators import statistics as st
 from legistra.operators import summaries as sm
@@ -310,6 +311,36 @@ def s_event_windows(spark, sf):
     return e.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
+def x_deep_split(spark, sf):
+    return pv.deep_split(_texts(spark, sf), "load_id", "text")
+
+
+def x_headings(spark, sf):
+    """Titles of raw documents with blanks and scanner's errors mended."""
+    return _reg(spark, sf).where("judul is not null").select("scrape_id", pv.fixed_heading(F.col("judul")).alias("title"))
+
+
+def d_document_checks(spark, sf):
+    return pv.document_checks(_cur(spark, sf))
+
+
+def t_page_ends(spark, sf):
+    return pv.page_ends(_cur(spark, sf))
+
+
+def d_review_states(spark, sf):
+    return pv.review_states(_nodes(spark, sf), _gt(spark, sf), _t("gt_splits")(spark, sf))
+
+
+def a_repeated_actions(spark, sf):
+    return pv.repeated_actions(sm.unique_runs(_runs(spark, sf)))
+
+
+def s_quotas(spark, sf):
+    n = _cur(spark, sf).where("is_leaf").groupBy("doc_id").agg(F.count("*").alias("leaves"))
+    return pv.proportional_quotas(n.withColumn("folder", F.split("doc_id", "-")[0]), "folder", "doc_id", "leaves", 100)
+
+
 QUERIES = {
     n: f for n, f in list(globals().items()) if callable(f) and n[:2] in ("t_", "x_", "a_", "d_", "s_") and getattr(f, "__module__", "") == __name__
 }
@@ -372,6 +403,18 @@ qs AS (SELECT doc_id, n_nodes, 100 - least(15, 2 * surplus) - least(25, 8 * empt
 qv AS (SELECT doc_id, n_nodes, score, CASE WHEN score >= 90 THEN 'OK' WHEN score >= 70 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM qs)"""
 SHARES = "(VALUES (0, 'dev', 0.4::DOUBLE), (1, 'val', 0.3::DOUBLE), (2, 'test', 0.3::DOUBLE)) AS p(i, part, share)"
 
+LN_DEEP = f"""WITH {LINES}, m AS (SELECT *, nullif(regexp_extract(line, '^\\(([0-9]+)\\) ', 1), '') AS a, nullif(regexp_extract(line, '^([a-z])\\. ', 1), '') AS h FROM ln),
+p AS (SELECT *, (count(a) OVER (PARTITION BY load_id ORDER BY pos))::BIGINT AS part FROM m),
+l AS (SELECT *, coalesce(last_value(a IGNORE NULLS) OVER w, '') AS ayat, coalesce(last_value(h IGNORE NULLS) OVER w, '') AS huruf FROM p WINDOW w AS (PARTITION BY load_id, part ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT load_id, part, ayat, huruf, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM l GROUP BY ALL"""
+
+
+def _headings(c):
+    for pattern, replacement in pv.HEADING_FIXES:
+        c = f"regexp_replace({c}, '{pattern}', '{replacement}', 'g')"
+    return c
+
+
 ORACLES = {
     "t_current": f"WITH {CUR} SELECT {K}, load_id FROM cur",
     "t_preorder": f"WITH {CUR} SELECT {K}, depth, row_number() OVER (PARTITION BY granularity, doc_id ORDER BY ord_path, node_id)::INT AS position FROM cur",
@@ -463,6 +506,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY leaf_count, doc_
 s AS (SELECT *, least(CASE WHEN t <= 5 THEN i ELSE (i * 5 + 4) // t END, 4)::INT AS stratum FROM r)
 SELECT folder, stratum, arg_min(doc_id, (md5('42|' || doc_id), doc_id)) AS doc_id FROM s GROUP BY ALL""",
     "s_adaptive_n": f"WITH {CUR} SELECT doc_id, count(*) AS n, CASE WHEN count(*) < 5 THEN 0 ELSE least(count(*), 5) END::BIGINT AS quota FROM cur WHERE is_leaf GROUP BY 1",
+    "x_deep_split": LN_DEEP,
+    "x_headings": f"SELECT scrape_id, trim({_headings('judul')}) AS title FROM registry WHERE judul IS NOT NULL",
+    "d_document_checks": f"""WITH {CUR}, r AS (SELECT granularity, doc_id, ord_path, node_id, nullif(regexp_extract(node_id, '^pasal_([0-9]+)', 1), '')::INT AS n, is_leaf, text FROM cur),
+m AS (SELECT *, n < lag(n) OVER (PARTITION BY granularity, doc_id ORDER BY ord_path, node_id) AS falls FROM r),
+g AS (SELECT granularity, doc_id, count(DISTINCT n) AS n_articles, greatest(coalesce(max(n) - min(n) + 1 - count(DISTINCT n), 0), 0)::BIGINT AS n_missing, count(*) FILTER (WHERE is_leaf AND coalesce(trim(text), '') = '') AS n_empty, count(*) FILTER (WHERE falls) AS falls FROM m GROUP BY ALL)
+SELECT granularity, doc_id, n_articles, n_missing, n_empty, falls = 0 AS monotonic, CASE WHEN n_articles = 0 THEN 'FAIL' WHEN n_missing > 0 OR n_empty > 0 OR falls > 0 THEN 'WARN' ELSE 'OK' END AS verdict FROM g""",
+    "t_page_ends": f"""WITH {CUR}, l AS (SELECT *, lead(start_index) OVER (PARTITION BY granularity, doc_id, coalesce(parent_id, '') ORDER BY ord_path, node_id) AS nx FROM cur)
+SELECT {K}, start_index, CASE WHEN nx IS NULL THEN end_index ELSE greatest(start_index, nx - 1) END AS derived_end FROM l""",
+    "d_review_states": f"""WITH a AS (SELECT query_id, {GD} AS d FROM gt_items), b AS (SELECT DISTINCT {DOC.format(c="doc_id")} AS d FROM nodes), al AS (SELECT d FROM b UNION SELECT d FROM a)
+SELECT d AS doc_id, CASE WHEN d NOT IN (SELECT d FROM b WHERE d IS NOT NULL) THEN 'not-built' WHEN d IN (SELECT d FROM a WHERE d IS NOT NULL AND query_id IN (SELECT query_id FROM gt_splits)) THEN 'applied'
+  WHEN d IN (SELECT d FROM a WHERE d IS NOT NULL) THEN 'annotated' ELSE 'built' END AS state FROM al WHERE d IS NOT NULL""",
+    "a_repeated_actions": f"""WITH {U}, m AS (SELECT run_id, eval_granularity AS g, lag(eval_granularity) OVER w AS b1, lag(eval_granularity, 2) OVER w AS b2 FROM u WHERE query_id IS NOT NULL WINDOW w AS (PARTITION BY system, query_id ORDER BY started_at, run_id))
+SELECT run_id, CASE WHEN b1 = g AND b2 = g THEN 'stop' ELSE 'vary' END AS hint FROM m WHERE coalesce(b1 = g, false) OR coalesce(b2 = g, false)""",
+    "s_quotas": f"""WITH {CUR}, p AS (SELECT string_split(doc_id, '-')[1] AS folder, doc_id, count(*) AS s FROM cur WHERE is_leaf GROUP BY ALL),
+b AS (SELECT *, count(*) OVER (PARTITION BY folder) AS n, sum(s) OVER (PARTITION BY folder) AS t, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS i FROM p),
+x AS (SELECT *, greatest(100 - n, 0) AS l, round(greatest(100 - n, 0) * s / t::DOUBLE, 9) AS x FROM b), f AS (SELECT *, floor(x)::BIGINT AS f FROM x),
+q AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY x - f DESC, doc_id DESC) AS place, sum(f) OVER (PARTITION BY folder) AS gone FROM f)
+SELECT folder, doc_id, (CASE WHEN i <= 100 THEN 1 ELSE 0 END + f + CASE WHEN place <= l - gone THEN 1 ELSE 0 END)::BIGINT AS quota FROM q""",
     "s_pricing": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY ALL",
     "s_nation_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "s_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
