@@ -125,6 +125,33 @@ def r_interleave10(spark, sf):
     return rt.interleave(_by_bm25(spark, sf), _by_dense(spark, sf), "item", 10)
 
 
+def _reranked(spark, sf):
+    """The twenty BM25 candidates of each query, and the stand-in model's order of them."""
+    top = r_bm25_candidates20(spark, sf).select("query_id", "load_id", "rank")
+    texts = _leaves(spark, sf, "rincian").select("load_id", "search_text")
+    both = top.join(texts, "load_id").join(_asked(spark, sf).select("query_id", "query"), "query_id")
+    return top, rt.overlap_ranking(both, "load_id", "query", "search_text")
+
+
+def r_hybrid_flat(spark, sf):
+    top, model = _reranked(spark, sf)
+    return rt.validated(model, top, "load_id")
+
+
+def r_hybrid_rrf(spark, sf):
+    top, model = _reranked(spark, sf)
+    return rt.reciprocal_rank_fusion(top, model.select("query_id", "load_id", F.col("pos").alias("rank")), "load_id").where("rank <= 10")
+
+
+def r_bm25_tree(spark, sf):
+    """Three documents picked per query, their leaves pooled and ranked as a corpus of their own."""
+    picks = r_doc_pick3(spark, sf).select(F.col("query_id").alias("qid"), "doc_id")
+    pool = picks.join(_leaves(spark, sf, "pasal"), "doc_id")
+    asked = _asked(spark, sf).select("query_id", "query", F.col("query_id").alias("qid"))
+    scored = rt.bm25_scores(asked, pool, ["load_id"], "search_text", ["qid"])
+    return rt.top_k(scored, 10, ["load_id"]).select("query_id", "load_id", "score", "rank")
+
+
 def _model_ranking(spark, sf):
     """The order a reranking model gave, with its nulls gone, as an external ranking."""
     c = _candidates(spark, sf, "rerank_position", ascending=True)
@@ -196,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         r_token_stats, r_term_idf, r_bm25_flat_top10, r_bm25_candidates20, r_catalog, r_doc_pick3, r_within_doc_top10, r_beam_tree, r_rrf, r_borda,
-        r_interleave10, r_validated, r_hallucinations, r_tournament, r_cosine_top10, r_vector_label_recall, m_per_query, m_by_type, m_sibling,
+        r_interleave10, r_hybrid_flat, r_hybrid_rrf, r_bm25_tree, r_validated, r_hallucinations, r_tournament, r_cosine_top10, r_vector_label_recall, m_per_query, m_by_type, m_sibling,
         m_sibling_failures, m_rank_distribution, m_docpick,
     )
 }
@@ -289,7 +316,17 @@ l{r} AS (SELECT query_id, cand_id, llm_score, CASE WHEN n <= {window} THEN round
 x{r} AS (SELECT query_id, cand_id, {r - 1} AS round FROM p{r} WHERE NOT (n <= {window} OR place <= {survivors}))"""
 
 
+RERANKED = f"""{CUR}, {LEAF}, {ASKED}, pl AS (SELECT * FROM leaf WHERE granularity = 'rincian'), {_bm25('pl', 'load_id', 'search_text')}, a AS ({_top('load_id', 20)}),
+b AS (SELECT a.query_id, a.load_id, row_number() OVER (PARTITION BY a.query_id ORDER BY len(list_intersect(list_distinct({_tok("query")}), list_distinct({_tok("search_text")}))) DESC, a.load_id)::INT AS pos
+  FROM a JOIN pl ON pl.load_id = a.load_id JOIN asked ON asked.query_id = a.query_id)"""
+
 ORACLES = {
+    "r_hybrid_flat": f"WITH {RERANKED} SELECT query_id, load_id, pos AS rank FROM b",
+    "r_hybrid_rrf": f"""WITH {RERANKED}, f AS (SELECT a.query_id, a.load_id, a.rank AS place, round(1.0::DOUBLE / (60 + a.rank) + 1.0::DOUBLE / (60 + pos), 6) AS fused FROM a JOIN b ON a.query_id = b.query_id AND a.load_id = b.load_id)
+SELECT * FROM (SELECT query_id, load_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place)::INT AS rank FROM f) WHERE rank <= 10""",
+    "r_bm25_tree": f"""WITH {CUR}, {LEAF}, picks AS (WITH {CATALOG}, {ASKED}, {_bm25('cat', 'doc_id', 'doc_text')} SELECT query_id, doc_id FROM ({_top('doc_id', 3, '')}) WHERE score > 0),
+pool AS (SELECT picks.query_id AS qid, leaf.* FROM picks JOIN leaf ON leaf.doc_id = picks.doc_id WHERE granularity = 'pasal'), {ASKED.replace("asked AS", "asked0 AS", 1)}, asked AS (SELECT *, query_id AS qid FROM asked0),
+{_bm25('pool', 'load_id', 'search_text', 'qid')} {_top('load_id', 10)}""",
     "r_token_stats": f"WITH {CUR}, {LEAF} SELECT granularity, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM (SELECT granularity, unnest({_tok('search_text')}) AS term FROM leaf) GROUP BY 1",
     "r_term_idf": f"WITH {CUR}, {LEAF}, {ASKED}, pl AS (SELECT * FROM leaf WHERE granularity = 'pasal'), {_bm25('pl', 'load_id', 'search_text')} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "r_bm25_flat_top10": f"WITH {CUR}, {LEAF}, {ASKED}, pl AS (SELECT * FROM leaf WHERE granularity = 'pasal'), {_bm25('pl', 'load_id', 'search_text')} {_top('load_id', 10)}",
