@@ -157,3 +157,26 @@ def greedy_parts(lengths: DataFrame, group: str, order: str, length: str, budget
     rows = lengths.select(group, order, length).repartition(group).sortWithinPartitions(group, order)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInPandas(one, f"{group} {kinds[group]}, {order} {kinds[order]}, part bigint")
+
+
+def rebalanced(cells: list[dict[str, int]], totals: dict[str, int]) -> list[dict[str, int]]:
+    """Cells whose parts add up to the wanted totals: one unit at a time moves inside a cell, from parts with too much.
+
+    The largest cells give first. Cells are few (types by categories), so this runs on the driver; it raises ValueError if
+    the totals can't be reached.
+    """
+    out = [dict(c) for c in cells]
+    if sum(totals.values()) != sum(sum(c.values()) for c in out):
+        raise ValueError("the totals don't add up to the cells")
+    while True:
+        over = {p: sum(c[p] for c in out) - totals[p] for p in totals}
+        donor = max(sorted(over), key=lambda p: over[p])
+        taker = min(sorted(over), key=lambda p: over[p])
+        if not over[donor]:
+            return out
+        able = [c for c in out if c[donor] > 0]
+        if not able:
+            raise ValueError("no cell can give")
+        cell = max(able, key=lambda c: (c[donor], sum(c.values())))
+        cell[donor] -= 1
+        cell[taker] += 1

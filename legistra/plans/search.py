@@ -11,6 +11,7 @@ from legistra.functions.ids import canonical_doc, canonical_node, gold_doc
 from legistra.operators import corpus_tables as ct
 from legistra.operators import metrics as mt
 from legistra.operators import retrieval as rt
+from legistra.operators.agents import finalized
 from legistra.plans.corpus import DOC, NODE
 from legistra.sources.tables import table
 
@@ -162,6 +163,14 @@ def r_validated(spark, sf):
     return rt.validated(_model_ranking(spark, sf), _by_bm25(spark, sf), "item")
 
 
+def r_final_ten(spark, sf):
+    """What an agent that reads the reranked candidates in order would hand in: ten documents, each once."""
+    c = _candidates(spark, sf, "rerank_position", ascending=True).select("query_id", "rank", F.substring_index("item", "/", 1).alias("doc"))
+    lists = c.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc"))).alias("l"))
+    final = finalized(F.transform("l", lambda x: x["doc"]), 10)
+    return lists.select("query_id", F.size(final).alias("n"), F.array_join(final, " ").alias("docs"))
+
+
 def r_hallucinations(spark, sf):
     return rt.hallucinations(_model_ranking(spark, sf), _by_bm25(spark, sf), "item")
 
@@ -223,7 +232,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         r_token_stats, r_term_idf, r_bm25_flat_top10, r_bm25_candidates20, r_catalog, r_doc_pick3, r_within_doc_top10, r_beam_tree, r_rrf, r_borda,
-        r_interleave10, r_hybrid_flat, r_hybrid_rrf, r_bm25_tree, r_validated, r_hallucinations, r_tournament, r_cosine_top10, r_vector_label_recall, m_per_query, m_by_type, m_sibling,
+        r_interleave10, r_hybrid_flat, r_hybrid_rrf, r_bm25_tree, r_final_ten, r_validated, r_hallucinations, r_tournament, r_cosine_top10, r_vector_label_recall, m_per_query, m_by_type, m_sibling,
         m_sibling_failures, m_rank_distribution, m_docpick,
     )
 }
@@ -321,6 +330,8 @@ b AS (SELECT a.query_id, a.load_id, row_number() OVER (PARTITION BY a.query_id O
   FROM a JOIN pl ON pl.load_id = a.load_id JOIN asked ON asked.query_id = a.query_id)"""
 
 ORACLES = {
+    "r_final_ten": f"""WITH {MODEL}, d AS (SELECT query_id, string_split(item, '/')[1] AS doc, min(pos) AS p FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS i FROM d)
+SELECT query_id, count(*)::INT AS n, string_agg(doc, ' ' ORDER BY i) AS docs FROM r WHERE i <= 10 GROUP BY 1""",
     "r_hybrid_flat": f"WITH {RERANKED} SELECT query_id, load_id, pos AS rank FROM b",
     "r_hybrid_rrf": f"""WITH {RERANKED}, f AS (SELECT a.query_id, a.load_id, a.rank AS place, round(1.0::DOUBLE / (60 + a.rank) + 1.0::DOUBLE / (60 + pos), 6) AS fused FROM a JOIN b ON a.query_id = b.query_id AND a.load_id = b.load_id)
 SELECT * FROM (SELECT query_id, load_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place)::INT AS rank FROM f) WHERE rank <= 10""",
