@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,20 +30,42 @@ def build_session(app: str = "legistra", cpus: int | str = "*", shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    It is what spark.checkpoint.dir names. Only where that is unset and the master is local,
-    as in tests, a temporary folder of this machine is taken.
+    It is what spark.checkpoint.dir names. Where that is unset, it is a temporary folder of this machine if the
+    master is local, as in tests, and a folder beside the warehouse's tables otherwise.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + os.path.join(tempfile.gettempdir(), f"legistra-checkpoints-{os.getpid()}")
+            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        else:
+            named = "file://" + os.path.join(tempfile.gettempdir(), f"legistra-checkpoints-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the library to the executors' Python workers, once per application, by way of the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    place = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lib/{uuid.uuid4().hex}/{root.name}.zip")
+    out = place.getFileSystem(context.hadoopConfiguration()).create(place)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(place.toString())
+    _SHIPPED.add(app)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
