@@ -102,7 +102,8 @@ def same_word(a: str, b: str, common: frozenset[str] | set[str]) -> bool:
     for x in ALIASES.get(a, [a]):
         for y in ALIASES.get(b, [b]):
             short = min(len(x), len(y))
-            most = 2 if short >= (6 if a in common or b in common else 8) else 1 if short >= 2 else 0
+            one_known = (a in common) != (b in common) and x[0] == y[0]
+            most = 2 if short >= (5 if one_known else 8) else 1 if short >= 2 else 0
             if edit_distance(x, y, most) <= most:
                 return True
     return False
@@ -113,13 +114,26 @@ def same_question(a: list[str], b: list[str], common: frozenset[str] | set[str],
     if jaccard(shingles(a), shingles(b)) < least:
         return False
     only_a, only_b = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
+    left_a: list[str] = []
     for w in sorted(only_a, key=len, reverse=True):
         hit = next((x for x in only_b if same_word(w, x, common)), None)
         if hit is not None:
             only_b.remove(hit)
-        elif w not in LIGHT:
-            return False
-    return all(w in LIGHT for w in only_b)
+        else:
+            left_a.append(w)
+    return _adds_nothing(left_a) and _adds_nothing(only_b)
+
+
+def _adds_nothing(words: list[str]) -> bool:
+    """Whether words without a partner are light ones or, but for slips, polite filler."""
+    rest = [w for w in words if w not in LIGHT]
+    for phrase in FILLER:
+        parts = [SAME.get(p, p) for p in phrase.split()]
+        hits = [next((w for w in rest if edit_distance(w, p, 2) <= (2 if len(p) >= 7 else 1)), None) for p in parts]
+        if rest and None not in hits and len(set(hits)) == len(parts):
+            for h in hits:
+                rest.remove(h)
+    return not rest
 
 
 def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
