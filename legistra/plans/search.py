@@ -110,8 +110,10 @@ def r_within_doc_top10(spark, sf):
 
 def r_beam_tree(spark, sf):
     cur = ct.current_nodes(table(spark, sf, "nodes")).where("granularity = 'rincian'")
-    tree = cur.select(canonical_doc(F.col("doc_id")).alias("doc_id"), "node_id", "parent_id", "ord_path", "is_leaf", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("label"))
-    return rt.beam_search(_asked(spark, sf).where("doc_id is not null"), tree)
+    label = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+    text = ct.enriched(F.col("title"), F.col("navigation_path"), F.col("text"), F.col("penjelasan"))
+    tree = cur.select(canonical_doc(F.col("doc_id")).alias("doc_id"), "node_id", "parent_id", "ord_path", label.alias("label"), text.alias("search_text"))
+    return rt.bm25_beam(_asked(spark, sf).where("doc_id is not null"), tree)
 
 
 def r_rrf(spark, sf):

@@ -9,6 +9,7 @@ from legistra.operators import statistics as st
 from legistra.operators.corpus_tables import canonical_title, parent_prefix
 from legistra.operators.scale import running_counts, salted_join
 from legistra.operators.text import page_chunks, split_at_markers
+from legistra.plans import search
 
 
 def one(spark, ranked, gold, k):
@@ -114,6 +115,32 @@ def test_beam_reaches_the_right_leaf(spark):
     assert [r.node_id for r in rt.beam_search(q, nodes, width=1).collect()] == ["b1"]
 
 
+def beam_tables(spark, path, nodes):
+    cols = "doc_id string, node_id string, parent_id string, ord_path string, title string, summary string, text string"
+    rest = ["'rincian' as granularity", "null as penjelasan", "'' as navigation_path", "timestamp'2024-01-01' as loaded_at", "cast(null as timestamp) as deleted_at", "cast(1 as bigint) as load_id"]
+    spark.createDataFrame(nodes, cols).selectExpr("*", *rest).selectExpr("*", "text <> '' as is_leaf").write.parquet(f"{path}/nodes.parquet")
+    asked = "cast(50 as bigint) as query_id", "'late boat fee' as query", "'d' as gold_doc_id", "cast(null as array<string>) as gold_doc_ids"
+    spark.range(1).selectExpr(*asked).write.parquet(f"{path}/gt_items.parquet")
+    return {r.node_id: r for r in search.r_beam_tree(spark, str(path)).collect()}
+
+
+def test_beam_takes_whole_levels_of_leaves(spark, tmp_path):
+    leaves = [("d", f"n{i}", "", str(i), "leaf", "", "late fee" if i == 11 else f"other matter {i}") for i in range(1, 12)]
+    got = beam_tables(spark, tmp_path, leaves)
+    # the eleventh leaf is ranked first by its text, zeros follow in reading order
+    assert sorted(got, key=lambda n: got[n].rank) == ["n11", *[f"n{i}" for i in range(1, 10)]]
+    assert {r.found_in for r in got.values()} == {1} and got["n11"].score > 0 == got["n1"].score
+
+
+def test_beam_goes_down_by_summaries(spark, tmp_path):
+    tops = [("d", x, "", str(i), "part", s, "") for i, (x, s) in enumerate(zip("abcde", ["", "late", "fee", "", "boat fee"], strict=True), 1)]
+    below = [("d", f"{x}{i}", x, f"{k}.{i}", "leaf", "", f"fee number {x}{i}") for k, x in enumerate("abcde", 1) for i in range(1, 5)]
+    mixed = [("d", "f", "", "6", "boat late fee", "", "a leaf beside parts")]
+    got = beam_tables(spark, tmp_path, tops + below + mixed)
+    # f is the best of the top, then e and one of b and c, all whose leaves are taken
+    assert got["f"].found_in == 1 and {f"e{i}" for i in range(1, 5)} <= set(got) and len(got) == 9
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("g", 713)], "k string, t bigint")
     assert {r.part: r.n for r in st.largest_remainder(df, "k", "t", [("dev", 0.4), ("val", 0.3), ("test", 0.3)]).collect()} == {"dev": 285, "val": 214, "test": 214}
