@@ -179,7 +179,7 @@ def r_hallucinations(spark, sf):
 
 def r_tournament(spark, sf):
     r = table(spark, sf, "retrieved").where("llm_score is not null")
-    return rt.tournament(r, "cand_id", "llm_score", window=4, survivors=2, rounds=3)
+    return rt.tournament(r, "cand_id", "llm_score", window=4, survivors=2)
 
 
 def r_cosine_top10(spark, sf):

@@ -141,6 +141,16 @@ def test_beam_goes_down_by_summaries(spark, tmp_path):
     assert got["f"].found_in == 1 and {f"e{i}" for i in range(1, 5)} <= set(got) and len(got) == 9
 
 
+def test_tournament_runs_to_its_end(spark, tmp_path):
+    rows = [(1, i, float(i % 97)) for i in range(200)] + [(2, i, 1.0) for i in range(3)]
+    spark.createDataFrame(rows, "query_id bigint, cand_id bigint, llm_score double").write.parquet(f"{tmp_path}/retrieved.parquet")
+    got = search.r_tournament(spark, str(tmp_path)).collect()
+    last = max(r["round"] for r in got)
+    assert len(got) == 203 and 1 <= sum(r["round"] == last for r in got if r.query_id == 1) <= 4
+    # 200, 100, 50, 26, 14, 8, 4
+    assert last == 6 and {r["round"] for r in got if r.query_id == 2} == {0}
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("g", 713)], "k string, t bigint")
     assert {r.part: r.n for r in st.largest_remainder(df, "k", "t", [("dev", 0.4), ("val", 0.3), ("test", 0.3)]).collect()} == {"dev": 285, "val": 214, "test": 214}
