@@ -73,11 +73,23 @@ def split_at_markers(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def numbering_gaps(found: DataFrame, key: str) -> DataFrame:
-    """key, missing: clause numbers that are absent between the least and the largest. found: markers."""
-    ayat = found.where("kind = 'ayat'").withColumn("n", F.regexp_extract("label", "([0-9]+)", 1).cast("int"))
-    per = ayat.groupBy(key).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("n").alias("have"))
-    return per.where("hi - lo < 10000").select(key, F.explode(F.array_except(F.sequence("lo", "hi"), "have")).alias("missing"))
+def gap_ranges(found: DataFrame, key: str) -> DataFrame:
+    """key, gap_from, gap_to: runs of clause numbers that are absent between two that are there. found: markers."""
+    have = found.where("kind = 'ayat'").select(key, F.regexp_extract("label", "([0-9]+)", 1).cast("int").alias("n")).distinct()
+    after = have.withColumn("after", F.lead("n").over(Window.partitionBy(key).orderBy("n")))
+    return after.where("after - n > 1").select(key, (F.col("n") + 1).alias("gap_from"), (F.col("after") - 1).alias("gap_to"))
+
+
+def numbering_gaps(found: DataFrame, key: str, block: int = 10_000) -> DataFrame:
+    """key, missing: clause numbers that are absent between the least and the largest. found: markers.
+
+    One marker that is far off gives a row for every number up to it; gap_ranges tells them in one.
+    """
+    # in blocks, so that no array is long
+    starts = F.explode(F.sequence(F.col("gap_from").cast("bigint"), F.col("gap_to").cast("bigint"), F.lit(block).cast("bigint")))
+    blocks = gap_ranges(found, key).select(key, "gap_to", starts.alias("lo"))
+    each = blocks.select(key, F.explode(F.sequence("lo", F.least(F.col("lo") + block - 1, F.col("gap_to").cast("bigint")))).alias("missing"))
+    return each.withColumn("missing", F.col("missing").cast("int"))
 
 
 def page_chunks(docs: DataFrame, key: str, pages: str, size: int = 10, overlap: int = 4) -> DataFrame:

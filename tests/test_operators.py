@@ -8,7 +8,7 @@ from legistra.operators import retrieval as rt
 from legistra.operators import statistics as st
 from legistra.operators.corpus_tables import canonical_title, parent_prefix
 from legistra.operators.scale import running_counts, salted_join
-from legistra.operators.text import page_chunks, split_at_markers
+from legistra.operators.text import gap_ranges, markers, numbering_gaps, page_chunks, split_at_markers
 from legistra.plans import search
 
 
@@ -170,3 +170,10 @@ def test_chunks_and_clauses(spark):
     assert [tuple(r) for r in got] == [(1, 1, 1, 10), (2, 1, 1, 10), (2, 2, 7, 16), (2, 3, 13, 17)]
     got = split_at_markers(spark.createDataFrame([(1, "intro\n(1) one\nmore\n(2) two")], "k int, t string"), "k", "t").orderBy("part").collect()
     assert [(r.part, r.label, r.n_lines) for r in got] == [(0, "", 1), (1, "1", 2), (2, "2", 1)]
+
+
+def test_gaps_beside_a_marker_that_is_far_off(spark):
+    rows = [(1, "(1) a\n(2) b\n(5) c\n(12019) d"), (2, "(1) a\n(2) b"), (3, "(2) a\n(2) b\n(4) c")]
+    found = markers(spark.createDataFrame(rows, "k int, t string"), "k", "t")
+    assert sorted(map(tuple, gap_ranges(found, "k").collect())) == [(1, 3, 4), (1, 6, 12018), (3, 3, 3)]
+    assert sorted(map(tuple, numbering_gaps(found, "k").collect())) == [(1, 3), (1, 4), *[(1, n) for n in range(6, 12019)], (3, 3)]
