@@ -55,3 +55,19 @@ def test_whole_tables_against_brute_force(spark, sf):
 @pytest.mark.parametrize(("a", "b", "d"), [("kata", "kata", 0), ("kata", "kaat", 1), ("kata", "kat", 1), ("kata", "kuta", 1), ("abcd", "wxyz", 3)])
 def test_edit_distance(a, b, d):
     assert cs.edit_distance(a, b, 2) == d
+
+
+def test_bands_find_pairs_at_the_limit():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    missed = 0
+    for i in range(400):
+        shared, a, b = ([word() for _ in range(n)] for n in (8, 4, 4))
+        asked = pd.DataFrame({"query_id": [0, 1], "query": [" ".join(shared + a), " ".join(shared + b)], "doc": "d", "anchor": "x", "side": "train"})
+        one, two = next(cs._signatures(iter([asked])))["bands"]
+        missed += not (one == two).any()
+    assert missed <= 2
