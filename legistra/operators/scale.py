@@ -8,14 +8,34 @@ from pyspark.sql import functions as F
 from legistra.session import cut
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
-    """left joined with right on `on`, where a hot key of left is spread over `salts` tasks.
+HOT_ROWS = 200_000  # rows of one key that a single task takes without trouble
+TRACKED = 256  # a key with a larger share than one in so many is found if it is hot
 
-    right is repeated once per salt, so it should be the smaller side, best with few rows a key.
-    `by` are columns of left whose hash chooses the salt. For inner, left, left_semi and left_anti.
+
+def hot_keys(df: DataFrame, keys: list[str], least: int = HOT_ROWS) -> dict[int, int]:
+    """The hash of every key with at least `least` rows and one in TRACKED of all rows, with its number of rows.
+
+    One pass with a sketch of bounded size. There are never more than TRACKED such keys, whatever the data.
+    """
+    hashed = df.select(F.xxhash64(*keys).alias("__h"))
+    row = hashed.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(__h, {TRACKED}, {16 * TRACKED})").alias("top")).first()
+    return {t["item"]: t["count"] for t in row.top or [] if t["count"] >= max(least, row.n / TRACKED)}
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """left joined with right on `on`, where the hot keys of left are spread over as many tasks as their size asks for.
+
+    Heat is measured, in a pass over left's keys, unless `rows`, the number of left's rows, says that no key can be hot. Only
+    the rows of right that a hot key meets are repeated, once for each of its tasks; all else is a plain join.
+    `by` are columns of left whose hash chooses the task. For inner, left, left_semi and left_anti.
     """
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    hot = {} if rows is not None and rows < HOT_ROWS else hot_keys(left, on)
+    if not hot:
+        return left.join(right, on, how)
+    sizes = F.create_map(*[F.lit(x) for h, n in hot.items() for x in (h, -(-n // HOT_ROWS) + 1)])
+    tasks = F.coalesce(F.try_element_at(sizes, F.xxhash64(*on)), F.lit(1))
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*by), tasks).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), tasks - 1)))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
