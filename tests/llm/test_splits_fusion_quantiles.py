@@ -78,6 +78,20 @@ def test_splits_keep_groups_and_proportions(spark, sf):
     assert abs(share["train"] / 4000 - 0.8) < 0.02 and abs(share["val"] / 4000 - 0.1) < 0.02
 
 
+def test_proportions_with_uneven_groups(spark):
+    """One group holds a third of the records, and sizes fall by halves: the small groups make up for it."""
+    sizes = [9000, 2500, 1300, 600, 300, 150, 80, 40, *[20] * 60, *[3] * 900, *[1] * 9000]
+    rows = spark.createDataFrame([(g, n) for g, n in enumerate(sizes)], "g int, n int").selectExpr("explode(sequence(1, n)) as i", "concat('d', g) as group_doc")
+    groups = rows.selectExpr("hash(group_doc, i) * 1L as query_id", "group_doc", "group_doc as root")
+    got = {r.split_name: r.share for r in splits.split_report(splits.assign_splits(groups)).collect()}
+    assert all(abs(got[k] - v) < 0.005 for k, v in splits.PROPORTIONS.items()), got
+
+
+def test_shares_of_the_whole_table(spark, sf):
+    big = sf.replace("sf0.001", "sf0.01")
+    assert all(abs(r.share - splits.PROPORTIONS[r.split_name]) < 0.01 for r in q.p1_report(spark, big).collect())
+
+
 def test_whole_tables_against_brute_force(spark, sf):
     d = spark.read.parquet(f"{sf}/gt_items.parquet").select("query_id", "query", "gold_doc_id", "gold_doc_ids").collect()
     assert {tuple(r) for r in q.p1_found(spark, sf).collect()} == brute_groups([tuple(r) for r in d])
@@ -98,6 +112,15 @@ def test_fusion(spark):
     assert fusion.fused(df.limit(0)).count() == 0
 
 
+def test_very_large_queries_are_ranked_over_all_tasks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(c % 3 if c % 2 else None, c, rng.choice([None, 1.0, 2.0, rng.random()]), rng.random(), rng.randrange(9), rng.choice([None, 3, 4]), 0, 0) for c in range(300)]
+    df = spark.createDataFrame(rows, RET)
+    plain = sorted(map(tuple, fusion.fused_ranking(df).collect()), key=str)
+    monkeypatch.setattr(fusion, "hot_keys", lambda d, keys: {r[0]: 1 for r in d.selectExpr(f"xxhash64({keys[0]})").distinct().limit(2).collect()})
+    assert sorted(map(tuple, fusion.fused_ranking(df).collect()), key=str) == plain
+
+
 def test_bucket_error_and_merging(spark):
     rng = random.Random(1)
     values = [rng.lognormvariate(0, 3) * rng.choice([1, -1]) for _ in range(4000)] + [0.0] * 50
