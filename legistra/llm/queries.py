@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from legistra.llm import contamination, cross_split, fusion, languages, packing, quantiles, scans, splits
+from legistra.llm.lexicons import INDONESIAN
 from legistra.sources.tables import table
 
 
@@ -19,7 +20,7 @@ def p1_report(spark, sf):
 
 
 def p2_found(spark, sf):
-    return cross_split.cross_split_pairs(table(spark, sf, "gt_items"), table(spark, sf, "gt_splits"))
+    return cross_split.cross_split_pairs(table(spark, sf, "gt_items"), table(spark, sf, "gt_splits"), INDONESIAN)
 
 
 def p2_report(spark, sf):

@@ -1,6 +1,7 @@
 import pytest
 
 from legistra.llm import cross_split as cs
+from legistra.llm.lexicons import INDONESIAN
 
 ITEMS = "query_id bigint, query string, gold_doc_id string, gold_doc_ids array<string>, gold_anchor_node_id string, source string, bucket int, cls int"
 BASE = "Apakah petugas pemeriksa lapangan di Kecamatan Relnamur wajib menyusun 28 laporan kegiatan tahunan?"
@@ -10,7 +11,7 @@ def pairs(spark, texts, anchors=None):
     rows = [(i, t, "uu-1-2019", None, (anchors or {}).get(i, "pasal_1"), "s", 0, 0) for i, t in enumerate(texts)]
     items = spark.createDataFrame(rows, ITEMS)
     held = spark.createDataFrame([(i, "train" if i == 0 else "test") for i in range(len(texts))], "query_id bigint, split_name string")
-    return {tuple(r) for r in cs.cross_split_pairs(items, held).collect()}
+    return {tuple(r) for r in cs.cross_split_pairs(items, held, INDONESIAN).collect()}
 
 
 def test_same_questions_are_found_and_others_not(spark):
@@ -40,14 +41,14 @@ def test_empty_tables(spark):
 
 def test_whole_tables_against_brute_force(spark, sf):
     items, held = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("gt_items", "gt_splits"))
-    got = {tuple(r) for r in cs.cross_split_pairs(items, held).collect()}
-    qs = cs.prepared(items, held)
+    got = {tuple(r) for r in cs.cross_split_pairs(items, held, INDONESIAN).collect()}
+    qs = cs.prepared(items, held, INDONESIAN)
     rows, common = qs.select("query_id", "doc", "anchor", "side", "tokens").collect(), cs.common_words(qs)
     want = set()
     for a in rows:
         for b in rows:
             if a.side == "train" and b.side == "eval" and a.doc == b.doc and (a.anchor is None or b.anchor is None or a.anchor == b.anchor):
-                if cs.same_question(a.tokens, b.tokens, common):
+                if cs.same_question(a.tokens, b.tokens, common, INDONESIAN):
                     want.add(tuple(sorted((a.query_id, b.query_id))))
     assert got == want
 
@@ -60,14 +61,25 @@ def test_edit_distance(a, b, d):
 def test_bands_find_pairs_at_the_limit():
     import random
 
-    import pandas as pd
-
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
     missed = 0
-    for i in range(400):
+    for _ in range(400):
         shared, a, b = ([word() for _ in range(n)] for n in (8, 4, 4))
-        asked = pd.DataFrame({"query_id": [0, 1], "query": [" ".join(shared + a), " ".join(shared + b)], "doc": "d", "anchor": "x", "side": "train"})
-        one, two = next(cs._signatures(iter([asked])))["bands"]
+        one, two = cs.signatures([shared + a, shared + b], INDONESIAN)
         missed += not (one == two).any()
     assert missed <= 2
+
+
+def test_lexicon_is_the_callers(spark):
+    rows = [(0, BASE, "uu-1-2019", None, "pasal_1", "s", 0, 0), (1, BASE.replace("wajib", "harus"), "uu-1-2019", None, "pasal_1", "s", 0, 0), (2, BASE.lower(), "uu-1-2019", None, None, "s", 0, 0)]
+    items = spark.createDataFrame(rows, ITEMS)
+    held = spark.createDataFrame([(0, "train"), (1, "test"), (2, "val")], "query_id bigint, split_name string")
+    assert {tuple(r) for r in cs.cross_split_pairs(items, held).collect()} == {(0, 2)}
+    assert {tuple(r) for r in cs.cross_split_pairs(items, held, INDONESIAN).collect()} == {(0, 1), (0, 2)}
+
+
+def test_only_questions_that_face_another_are_hashed(spark):
+    rows = [(1, "d", "a", "train"), (2, "d", "a", "eval"), (3, "d", "b", "train"), (4, "d", None, "train"), (5, "e", "a", "train"), (6, "f", None, "eval"), (7, "f", "z", "train"), (8, "f", "z", "eval")]
+    q = spark.createDataFrame(rows, "query_id bigint, doc string, anchor string, side string")
+    assert {r.query_id for r in cs.facing(q).collect()} == {1, 2, 4, 6, 7, 8}
