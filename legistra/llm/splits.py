@@ -7,8 +7,9 @@ rounds is at most the logarithm of the number of documents, and every step is an
 component ids, salted where one component holds most edges. Nothing about components reaches the driver but
 counts.
 
-The components are dealt to the splits within bands of like size: in hashed order, by their position on a
-cycle of records, so that each band keeps the proportions.
+The components are dealt to the splits within bands of like size, the largest first: in hashed order, by their position
+among the band's records, in proportion to what every split still lacks of its share of all records. So each band makes up
+for what the larger ones could not divide, and the smallest components settle the proportions.
 
 A null or blank query ties nothing. A record without any document is tied by its query alone; its group_doc is
 the smallest document of its group, or null if there is none. Repeated rows count once. A null query_id is a record.
@@ -61,9 +62,10 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     live = cut(edges.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "weight", "u", "v"))
     labels = cut(edges.select(F.explode(F.array("u", "v")).alias("vertex")).distinct().withColumn("root", F.col("vertex")))
+    n_vertices = labels.count()
     forest: DataFrame | None = None
     number = 0
-    while live.limit(1).count():
+    while n_edges := live.count():
         number += 1
         rank = F.struct("weight", "u", "v")
         ways = live.select(F.col("cu").alias("c"), F.struct(rank.alias("rank"), F.col("cv").alias("other")).alias("way")).unionByName(
@@ -79,12 +81,12 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         moved = 1
         while moved:
             up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            jumped = cut(salted_join(parent, up, ["p"], by=["c"]).select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+            jumped = cut(salted_join(parent, up, ["p"], by=["c"], rows=n_vertices).select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
             moved = jumped.where("moved").limit(1).count()
             parent = jumped.select("c", "p")
-        labels = cut(salted_join(labels.withColumnRenamed("root", "c"), parent, ["c"], by=["vertex"], how="left").select("vertex", F.coalesce("p", "c").alias("root")))
-        left = salted_join(live, parent.select(F.col("c").alias("cu"), F.col("p").alias("ru")), ["cu"], by=["u", "v"])
-        both = salted_join(left, parent.select(F.col("c").alias("cv"), F.col("p").alias("rv")), ["cv"], by=["u", "v"]).where("ru <> rv")
+        labels = cut(salted_join(labels.withColumnRenamed("root", "c"), parent, ["c"], by=["vertex"], how="left", rows=n_vertices).select("vertex", F.coalesce("p", "c").alias("root")))
+        left = salted_join(live, parent.select(F.col("c").alias("cu"), F.col("p").alias("ru")), ["cu"], by=["u", "v"], rows=n_edges)
+        both = salted_join(left, parent.select(F.col("c").alias("cv"), F.col("p").alias("rv")), ["cv"], by=["u", "v"], rows=n_edges).where("ru <> rv")
         # of parallel edges between two components only the lowest can ever be chosen
         live = cut(
             both.select(F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv"), F.struct("weight", "u", "v").alias("e"))
@@ -114,24 +116,31 @@ def related_groups(gt_items: DataFrame) -> DataFrame:
 
 
 def assign_splits(groups: DataFrame, proportions: Mapping[str, float] = PROPORTIONS) -> DataFrame:
-    """query_id, group_doc, split_name: whole groups dealt to splits within bands of like size."""
+    """query_id, group_doc, split_name: whole groups dealt to splits within bands of like size.
+
+    A band holds sizes up to twice the smallest, so there are no more bands than the logarithm of the largest group. What
+    comes to the driver are the records of each band and split.
+    """
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     banded = sizes.withColumn("band", F.floor(F.log2("size")).cast("int"))
-    placed = running_counts(banded, ["band"], [F.xxhash64("root"), F.col("root")], "size", "before")
-    totals = banded.groupBy("band").agg(F.sum("size").alias("total"))
-    cycle = F.least(F.col("total"), F.lit(20) * F.pow(F.lit(2), F.col("band") + 1))
-    middle = F.col("before") + F.col("size") / 2
-    at = (middle - F.floor(middle / cycle) * cycle) / cycle
-    split, upto = F.lit(list(proportions)[-1]), 0.0
-    whole = sum(proportions.values())
-    bounds = []
-    for name, share in list(proportions.items())[:-1]:
-        upto += share / whole
-        bounds.append((name, upto))
-    for name, bound in reversed(bounds):
-        split = F.when(at < bound, name).otherwise(split)
-    dealt = placed.join(totals, "band").select("root", split.alias("split_name"))
-    return salted_join(groups, dealt, ["root"], by=["query_id"]).select("query_id", "group_doc", "split_name")
+    placed = cut(running_counts(banded, ["band"], [F.xxhash64("root"), F.col("root")], "size", "before"))
+    totals = {r.band: r.total for r in placed.groupBy("band").agg(F.sum("size").alias("total")).collect()}
+    whole, records = sum(proportions.values()), sum(totals.values())
+    lacking = {name: share / whole * records for name, share in proportions.items()}
+    dealt = F.lit(None).cast("string")
+    for band in sorted(totals, reverse=True):
+        open_ = {name: max(0.0, x) for name, x in lacking.items()}
+        upto, bounds = 0.0, []
+        for name, x in open_.items():
+            upto += x / sum(open_.values()) * totals[band]
+            bounds.append((name, upto))
+        name = F.lit(bounds[-1][0])
+        for n, bound in reversed(bounds[:-1]):
+            name = F.when(F.col("before") + F.col("size") / 2 < bound, n).otherwise(name)
+        for r in placed.where(F.col("band") == band).groupBy(name.alias("name")).agg(F.sum("size").alias("got")).collect():
+            lacking[r.name] -= r.got
+        dealt = F.when(F.col("band") == band, name).otherwise(dealt)
+    return salted_join(groups, placed.select("root", dealt.alias("split_name")), ["root"], by=["query_id"]).select("query_id", "group_doc", "split_name")
 
 
 def split_report(assigned: DataFrame) -> DataFrame:
