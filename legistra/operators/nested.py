@@ -90,7 +90,10 @@ def _unwrapped(raw: Column) -> Column:
         opened = F.flatten(F.transform(s["items"], lambda i: F.when(i["is_node"], F.array(i)).otherwise(_as_items(_held(i)))))
         return F.when(s["open"], pack(opened)).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), _nesting(raw)), pack(_as_items(F.array(raw))), step)["items"]
+    # the depth is only looked for where two layers were not enough
+    two = F.aggregate(F.sequence(F.lit(1), F.lit(2)), pack(_as_items(F.array(raw))), step)
+    none = F.array().cast("array<int>")
+    return _let(two, lambda s: F.aggregate(F.when(s["open"], F.sequence(F.lit(1), _nesting(raw))).otherwise(none), s, step)["items"])
 
 
 def _children(path: Column, held: Column) -> Column:
