@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from legistra.functions.ids import canonical_doc, canonical_node, gold_doc
 from legistra.operators.scale import salted_join
+from legistra.session import cut
 
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
@@ -51,9 +52,11 @@ def find_orphans(references: DataFrame, targets: DataFrame) -> DataFrame:
     references: parent, key, at and any columns that name the record. targets: parent, key, starts_at, ends_at;
     `parent` says which table and which field of it the key belongs to.
     """
-    refs = references.where(F.col("key").isNotNull()).withColumn("at", F.col("at").cast("timestamp_ntz")).distinct()
+    # both are read more than once, and their keys are dear
+    refs = cut(references.where(F.col("key").isNotNull()).withColumn("at", F.col("at").cast("timestamp_ntz")).distinct())
+    targets = cut(targets.where(F.col("key").isNotNull()).distinct())
     # targets that end no later than they start exist, though at no time
-    known = targets.where(F.col("key").isNotNull()).groupBy("parent", "key").agg(
+    known = targets.groupBy("parent", "key").agg(
         F.coalesce(F.min(F.coalesce(F.col("starts_at").cast("timestamp_ntz"), F.lit(FIRST).cast("timestamp_ntz")))).alias("first_start")
     )
     long_form = (
