@@ -1,14 +1,15 @@
 """Held-out evaluation passages that stand in a training corpus, whole or in part.
 
-The evaluation items form a BM25 inverted index over groups of three neighbouring words, in blocks of items of like vocabulary with the highest impact of
-every term per block. Every training document is cut into overlapping passages, each a query. Blocks whose bound
-stays below their threshold are skipped, as block-max WAND does; in the others every item's score is worked out. An
-item's threshold is the lowest score that 16 to 24 of its words in a row can still reach with as many errors as
-are allowed, so no leak stays below it. What is retrieved is then verified word by word: 16 or more words of the item in a row, in
-order, with fewer than one in eight changed, dropped, added or damaged.
-
-The index holds the evaluation items, at most `slice_items` at a time; more items take more passes over the corpus.
-The corpus is read once a pass and never shuffled, whatever its skew. Null and empty texts hold nothing, rows without an id are left out, and items of
+The evaluation items form a BM25 inverted index over groups of three neighbouring words: postings in blocks of items of like
+vocabulary, with the highest impact of every term per block. Every training document is cut into overlapping passages, each
+a query. Blocks whose bound stays below their threshold are skipped, as block-max WAND does; in the others every item's score
+is worked out. An item's threshold is the lowest score that 16 to 24 of its words in a row can still reach with as many errors
+as are allowed, so no leak stays below it. What is retrieved is then verified word by word: 16 or more words of the item in a
+row, in order, with fewer than one in eight changed, dropped, added or damaged, by an alignment around common words.
+
+The index is sparse, its size that of the items' text, and is made once per worker. It holds `slice_items` items at a
+time, which is all of them in most evaluation sets; more take more passes over the corpus. The corpus is read once a pass and
+never shuffled, whatever its skew. Null and empty texts hold nothing, rows without an id are left out, and items of
 fewer than 16 words leak nowhere. Repeated documents and items of the same text are each reported.
 """
 
@@ -17,8 +18,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,7 +43,7 @@ _LOOK = str.maketrans(LOOK_ALIKE)
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿̀-ͯ]")
 _BROKEN = re.compile(r"[-‐‑¬]+\s*(?=[^\W_])")
 _STRAY = re.compile(r"[|~·^`´'’.*_=«»]+(?=[^\W\d_A-Z])")
-_TAG = re.compile(r"<[^<>]{1,80}>|&[a-z]{2,6};|&#\d{1,6};")
+_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>|&[a-zA-Z][a-zA-Z0-9]*;|&#[xX]?[0-9a-fA-F]+;")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 
@@ -70,6 +73,27 @@ def _worst_errors(n: int) -> int:
     return -(-n // PART) - 1
 
 
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every run, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
+
+
+DENSE = 1 << 20  # sums over so many keys are added up in place, others by sorting
+
+
+def _summed(keys: np.ndarray, values: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, all below `upto`, and the sum of the values of each. Values are above 0."""
+    if upto <= DENSE:
+        sums = np.bincount(keys, values, upto)
+        found = np.flatnonzero(sums)
+        return found, sums[found]
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(values, first) if len(first) else values
+
+
 class ItemIndex:
     """The BM25 inverted index of some evaluation items, its terms three neighbouring words each."""
 
@@ -80,47 +104,73 @@ class ItemIndex:
         for _, w in texts:
             for x in w:
                 self.word.setdefault(x, len(self.word))
+        self.spelled = list(self.word)
+        self.made: dict[int, dict[str, list[tuple[int, int]]]] = {}  # of items that were met
         self.width = len(self.word) + 1  # the last number is for words of no item
         coded = [(i, np.array([self.word[x] for x in w], np.int64)) for i, w in texts]
-        grams = {i: self._codes(c).tolist() for i, c in coded}
-        df = Counter(x for p in grams.values() for x in set(p))
+        grams = [self._codes(c, GRAM) for _, c in coded]
+        self.codes, df = np.unique(np.concatenate([np.unique(g) for g in grams]) if grams else np.zeros(0, np.int64), return_counts=True)
         # items of like vocabulary get into the same block: ordered by the most frequent terms they share
-        coded.sort(key=lambda t: (sorted(set(grams[t[0]]), key=lambda x: (-df[x], x))[:3], t[0]))
-        self.ids = [i for i, _ in coded]
-        self.words = [c.tolist() for _, c in coded]
-        self.codes = np.array(sorted(df), np.int64)
-        n, v = len(coded), len(self.codes)
-        self.impact = np.zeros((v, n), np.float32)
-        average = sum(len(w) - GRAM + 1 for w in self.words) / n if n else 1.0
-        floor = []
-        for j, i in enumerate(self.ids):
-            at = np.searchsorted(self.codes, grams[i])
-            for x, f in Counter(at.tolist()).items():
-                d = df[int(self.codes[x])]
-                idf = math.log(1 + (n - d + 0.5) / (d + 0.5))
-                self.impact[x, j] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(at) / average))
-            own, lows = self.impact[at, j], []
-            for size in range(RUN, 2 * CHUNK + 1):
-                terms = size - GRAM + 1
+        ats = [np.searchsorted(self.codes, g) for g in grams]
+        key = [(sorted((-int(df[x]), int(x)) for x in set(at.tolist()))[:3], i) for at, (i, _) in zip(ats, coded, strict=True)]
+        order = sorted(range(len(coded)), key=key.__getitem__)
+        in_items = np.bincount(np.concatenate([np.unique(c) for _, c in coded]), minlength=self.width) if coded else np.zeros(1, np.int64)
+        self.rarity = (-np.log(np.maximum(in_items, 1))).tolist()
+        self.ids = [coded[j][0] for j in order]
+        self.words = [coded[j][1] for j in order]
+        ats = [ats[j] for j in order]
+        n, v = len(order), len(self.codes)
+        average = sum(map(len, ats)) / n if n else 1.0
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        terms, owners, impacts, self.threshold = [], [], [], np.zeros(n, np.float32)
+        for j, at in enumerate(ats):
+            t, f = np.unique(at, return_counts=True)
+            impact = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(at) / average))
+            own, low = impact[np.searchsorted(t, at)], math.inf
+            for size in range(RUN, min(2 * CHUNK, len(self.words[j])) + 1):
+                m = size - GRAM + 1
                 gone = GRAM * _worst_errors(size)  # an error takes every term with it that its word is in
-                for k in range(len(at) - terms + 1):
-                    lows.append(np.sort(own[k : k + terms])[: terms - gone].sum())
-            floor.append(min(lows) * 0.999)
-        self.threshold = np.array(floor, np.float32)
-        self.blocks = [slice(k, min(k + block_items, n)) for k in range(0, n, block_items)]
-        self.block_impact = np.stack([self.impact[:, s].max(axis=1) for s in self.blocks], axis=1) if n else np.zeros((v, 0), np.float32)
-        self.block_threshold = np.array([self.threshold[s].min() for s in self.blocks], np.float32)
-        self.bound = self.block_impact.max(axis=1) if n else np.zeros(v, np.float32)
+                low = min(low, np.sort(np.lib.stride_tricks.sliding_window_view(own, m), axis=1)[:, : m - gone].sum(axis=1).min())
+            self.threshold[j] = low * 0.999
+            terms.append(t)
+            owners.append(np.full(len(t), j))
+            impacts.append(impact.astype(np.float32))
+        term, owner, impact = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in (terms, owners, impacts))
+        by_term = np.lexsort((owner, term))
+        self.post_item, self.post_impact = owner[by_term], impact[by_term]
+        self.post_at = np.searchsorted(term[by_term], np.arange(v + 1))
+        self.n_blocks, self.block_items = -(-n // block_items), block_items
+        blocks = term * max(self.n_blocks, 1) + owner // block_items
+        order_b = np.lexsort((-impact, blocks))
+        first = np.flatnonzero(np.diff(blocks[order_b], prepend=-1))
+        pair, self.block_impact = blocks[order_b][first], impact[order_b][first]
+        self.block_no = pair % max(self.n_blocks, 1)
+        self.block_at = np.searchsorted(pair // max(self.n_blocks, 1), np.arange(v + 1))
+        self.block_threshold = np.array([self.threshold[k : k + block_items].min() for k in range(0, n, block_items)], np.float32)
+        self.bound = np.maximum.reduceat(self.block_impact, self.block_at[:-1]) if v else np.zeros(0, np.float32)
         self.least = float(self.threshold.min()) if n else math.inf
-        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        for j, w in enumerate(self.words):
-            for k in range(len(w) - SEED + 1):
-                self.seeds[tuple(w[k : k + SEED])].append((j, k))
-
-    def _codes(self, ids: np.ndarray) -> np.ndarray:
-        out = ids[: len(ids) - GRAM + 1]
-        for k in range(1, GRAM):
-            out = out * self.width + ids[k : len(ids) - GRAM + 1 + k]
+        places = [np.arange(len(w) - SEED + 1) for w in self.words]
+        seeds = np.concatenate([self._codes(w, SEED) for w in self.words]) if n else np.zeros(0, np.int64)
+        by_seed = np.argsort(seeds, kind="stable")
+        self.seed_code = seeds[by_seed]
+        self.seed_item = np.repeat(np.arange(n), [len(x) for x in places])[by_seed]
+        self.seed_place = (np.concatenate(places) if n else np.zeros(0, np.int64))[by_seed]
+
+    def runs(self, j: int) -> dict[str, list[tuple[int, int]]]:
+        """What two or three neighbouring words of an item make together, with place and number."""
+        if (made := self.made.get(j)) is None:
+            made = self.made[j] = defaultdict(list)
+            text = [self.spelled[x] for x in self.words[j].tolist()]
+            for b in (2, 3):
+                for k in range(len(text) - b + 1):
+                    made["".join(text[k : k + b])].append((k, b))
+        return made
+
+    def _codes(self, ids: np.ndarray, size: int) -> np.ndarray:
+        """A number for every `size` words in a row. Those of three words tell them apart; longer ones may wrap around."""
+        out = ids[: max(0, len(ids) - size + 1)].copy()
+        for k in range(1, size):
+            out = out * self.width + ids[k : len(out) + k]
         return out
 
     def retrieve(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,37 +178,45 @@ class ItemIndex:
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(ids) < GRAM or not self.ids:
             return none
-        codes = self._codes(ids)
+        codes = self._codes(ids, GRAM)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         place = np.flatnonzero(self.codes[at] == codes)
+        if not len(place):
+            return none
+        term, chunk = at[place], place // CHUNK
         n_chunks = len(ids) // CHUNK + 1
 
-        def passages(impact: np.ndarray, term: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-            """The scores of all passages, by the chunk they end with."""
-            first = np.flatnonzero(np.diff(chunk, prepend=-1))
-            sums = np.zeros((n_chunks + CHUNKS - 1, *impact.shape[1:]), np.float32)
-            if len(first):
-                sums[chunk[first] + CHUNKS - 1] = np.add.reduceat(impact[term], first, axis=0)
-            out = sums[:n_chunks].copy()
-            for k in range(1, CHUNKS):
-                out += sums[k : k + n_chunks]
-            return out
-
-        term, chunk = at[place], place // CHUNK
-        ends = np.flatnonzero(passages(self.bound, term, chunk) >= self.least)
+        def scored(term: np.ndarray, chunk: np.ndarray, starts: np.ndarray, owner: np.ndarray, impact: np.ndarray, wanted=None):
+            """The passages by the chunk they end with, what owns the postings they meet, and their scores."""
+            counts = starts[term + 1] - starts[term]
+            hit = _runs(starts[term], counts)
+            who, ends, value = owner[hit], np.repeat(chunk, counts), impact[hit]
+            if wanted is not None:
+                keep = wanted[who]
+                who, ends, value = who[keep], ends[keep], value[keep]
+            wide = int(owner.max()) + 1
+            keys = np.concatenate([(ends + k) * wide + who for k in range(CHUNKS)])
+            keys, sums = _summed(keys, np.tile(value, CHUNKS), (n_chunks + CHUNKS) * wide)
+            return keys // wide, keys % wide, sums
+
+        # by the best of all blocks first
+        ends, sums = _summed(np.concatenate([chunk + k for k in range(CHUNKS)]), np.tile(self.bound[term], CHUNKS), n_chunks + CHUNKS)
+        ends = ends[(sums >= self.least) & (ends < n_chunks)]
         alive = np.zeros(n_chunks + CHUNKS, bool)
         for k in range(CHUNKS):
             alive[np.maximum(ends - k, 0)] = True
         keep = alive[chunk]
         term, chunk = term[keep], chunk[keep]
-        live = (passages(self.block_impact, term, chunk) >= self.block_threshold).any(axis=0)
-        last, item = [none[0]], [none[1]]
-        for b in np.flatnonzero(live):
-            s = self.blocks[b]
-            c, j = np.nonzero(passages(self.impact[:, s], term, chunk) >= self.threshold[s])
-            last.append(c)
-            item.append(j + s.start)
-        return np.concatenate(last), np.concatenate(item)
+        if not len(term):
+            return none
+        _, block, sums = scored(term, chunk, self.block_at, self.block_no, self.block_impact)
+        live = np.zeros(self.n_blocks, bool)
+        live[block[sums >= self.block_threshold[block]]] = True
+        if not live.any():
+            return none
+        last, item, sums = scored(term, chunk, self.post_at, self.post_item, self.post_impact, live[np.arange(len(self.ids)) // self.block_items])
+        good = (sums >= self.threshold[item]) & (last < n_chunks)
+        return last[good], item[good]
 
     def leaked(self, texts: list[list[str]]) -> list[list[int]]:
         """For each text, given as words, the ids of the items it holds a part of."""
@@ -180,24 +238,33 @@ class ItemIndex:
         for o, items in hits.items():
             start = starts[o]
             terms = every[start : start + len(texts[o])]
+            codes = self._codes(np.array(terms, np.int64), SEED)
+            lo, hi = np.searchsorted(self.seed_code, codes, "left"), np.searchsorted(self.seed_code, codes, "right")
             seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for c in sorted(set().union(*items.values())):
-                for k in range(max(c * CHUNK - start, 0), min((c + 1) * CHUNK - start, len(terms) - SEED + 1)):
-                    for j, p in self.seeds.get(tuple(terms[k : k + SEED]), ()):
-                        if j in items:
-                            seeds[j].append((k, p))
-            found[o] = [self.ids[j] for j, places in seeds.items() if holds_run(texts[o], terms, self.words[j], places, self.word)]
+            for k in np.flatnonzero(hi > lo).tolist():
+                for q in range(lo[k], hi[k]):
+                    j, p = int(self.seed_item[q]), int(self.seed_place[q])
+                    # a seed lies in a retrieved passage, and is the words and not only their number
+                    if j in items and (start + k) // CHUNK in items[j] and self.words[j][p : p + SEED].tolist() == terms[k : k + SEED]:
+                        seeds[j].append((k, p))
+            around = Around(texts[o])
+            found[o] = [self.ids[j] for j, places in seeds.items() if holds_run(around, terms, self.words[j].tolist(), places, self.word, self.spelled, self.rarity, self.runs(j))]
         return found
 
 
-def _extend(doc: list[int], d: int, item: list[int], i: int, joined, step: int) -> list[tuple[int, int]]:
-    """(words of the item, errors) after every match beyond a seed, in one direction; d and i are the next places."""
-    got, n, e = [(0, 0)], 0, 0
+LEAST = -math.inf
+Way = tuple[int, int, float, float]  # words of the item, errors, and the weights of the most telling word met and missed
+
+
+def _extend(doc: list[int], d: int, item: list[int], i: int, joined, weight: list[float], step: int) -> list[Way]:
+    """The way after every match beyond a seed, in one direction; d and i are the next places. Quick, and never too kind."""
+    got, n, e, hit, miss = [(0, 0, LEAST, LEAST)], 0, 0, LEAST, LEAST
     # beyond this deficit the rest can only pay with words that make a run by themselves
     while 0 <= i < len(item) and e * PART - n < RUN:
         if 0 <= d < len(doc) and doc[d] == item[i]:
+            hit = max(hit, weight[i])
             n, d, i = n + 1, d + step, i + step
-            got.append((n, e))
+            got.append((n, e, hit, miss))
             continue
         best = None
         # changed words, words only in the item, words only in the document; what needs fewest errors wins
@@ -218,51 +285,186 @@ def _extend(doc: list[int], d: int, item: list[int], i: int, joined, step: int)
         if best is None:
             break
         cost, a, b = best
-        if joined(d, b, i, a, step):  # one word broken in two, or two run together
-            cost = 0
+        over = max((weight[i + step * k] for k in range(a)), default=LEAST)
+        if joined(d, b, i, a, step):  # one word broken in two
+            cost, hit = 0, max(hit, over)
+        else:
+            miss = max(miss, over)
         n, e, d, i = n + a, e + cost, d + step * b, i + step * a
     return got
 
 
-def holds_run(words: list[str], doc: list[int], item: list[int], seeds: list[tuple[int, int]], term: dict[str, int]) -> bool:
-    """Whether around one of the seeds 16 words of the item or more stand in order with errors below one in eight."""
+BAND = 6  # how far an alignment may lie off its diagonal
+
+
+def _aligned(doc: list[int], d: int, item: list[int], i: int, whole, weight: list[float], parted: list[bool], doc_words: list[str], runs, step: int) -> list[Way]:
+    """The way with fewest errors of every alignment that goes on from a seed in one direction and ends in a match.
+
+    Word by word in a band around the diagonal; d and i are the next places. whole(True, d, b, step) is what b words of the
+    document make together, whole(False, ...) what words of the item do; parted and runs tell where it is worth looking.
+    """
+    n_item = (len(item) - i) if step > 0 else i + 1
+    out: list[Way] = [(0, 0, LEAST, LEAST)]
+    # by the words of the document taken: errors, weight met, weight missed
+    rows: list[dict[int, tuple[int, float, float]]] = [{k: (k, LEAST, LEAST) for k in range(BAND + 1)}]
+    never = (1 << 20, LEAST, LEAST)
+    for n in range(1, n_item + 1):
+        row: dict[int, tuple[int, float, float]] = {}
+        matched = None
+        y = i + step * (n - 1)
+        w = weight[y]
+        for k in range(max(0, n - BAND), n + BAND + 1):
+            x = d + step * (k - 1)
+            e, h, m = rows[n - 1].get(k, never)
+            cell = (e + 1, h, max(m, w))  # a word only in the item
+            if k:
+                e, h, m = row.get(k - 1, never)
+                cell = min(cell, (e + 1, h, m), key=_errors)  # one only in the document
+                if 0 <= x < len(doc):
+                    e, h, m = rows[n - 1].get(k - 1, never)
+                    met = None
+                    if doc[x] == item[y]:
+                        met = (e, max(h, w), m)
+                    else:
+                        cell = min(cell, (e + 1, h, max(m, w)), key=_errors)
+                        for b in (2, 3) if parted[y] or doc_words[x] in runs else ():
+                            # one word of the item broken in several, or several run together
+                            e, h, m = rows[n - 1].get(k - b, never)
+                            if e < cell[0] and (text := whole(True, x, b, step)) is not None and text == whole(False, y, 1, step):
+                                met = (e, max(h, w), m)
+                            e, h, m = rows[n - b].get(k - 1, never) if n >= b else never
+                            if e < cell[0] and (text := whole(False, y, b, step)) is not None and text == whole(True, x, 1, step):
+                                met = (e, max(h, w), m)
+                    if met is not None and met[0] <= cell[0]:
+                        cell = met
+                        matched = met if matched is None else min(matched, met, key=_errors)
+            row[k] = cell
+        rows.append(row)
+        if matched is not None:
+            out.append((n, *matched))
+        if PART * min(c[0] for c in row.values()) - n >= RUN:
+            break
+    return out
+
+
+def _errors(way: tuple[int, float, float]) -> int:
+    return way[0]
+
+
+class Around:
+    """What a document's words are, and what two or three in a row make together; made when first asked for."""
+
+    def __init__(self, words: list[str]):
+        self.all = words
+
+    @cached_property
+    def words(self) -> set[str]:
+        return set(self.all)
+
+    @cached_property
+    def joined(self) -> set[str]:
+        w = self.all
+        return {x + y for x, y in zip(w, w[1:], strict=False)} | {x + y + z for x, y, z in zip(w, w[1:], w[2:], strict=False)}
+
+
+def holds_run(around: Around, doc: list[int], item: list[int], seeds: list[tuple[int, int]], term: dict[str, int], spelled: list[str], rarity: list[float], runs: dict[str, list[tuple[int, int]]]) -> bool:
+    """Whether around one of the seeds 16 words of the item or more stand in order with errors below one in eight.
+
+    runs: what neighbouring words of the item make together, and where. rarity: by word, how telling it is. Where words differ, those that agree must be as telling as the ones that don't: a
+    phrase in common use, filled with other names, is no part of the item.
+    """
+    weight, words = [rarity[x] for x in item], around.all
 
     def joined(d: int, b: int, i: int, a: int, step: int) -> bool:
         lo = d if step > 0 else d - b + 1
         text = "".join(words[max(lo, 0) : max(lo, 0) + b])
         return a == 1 and b > 1 and term.get(text) == item[i]
 
+    def whole(of_doc: bool, at: int, b: int, step: int) -> str | None:
+        """What b words, the last of them taken at the place `at`, make together."""
+        lo = at - b + 1 if step > 0 else at
+        if lo < 0 or lo + b > (len(words) if of_doc else len(item)):
+            return None
+        return "".join(words[lo : lo + b] if of_doc else [spelled[x] for x in item[lo : lo + b]])
+
+    def enough(left: list[Way], right: list[Way], own: float) -> bool:
+        if left[-1][0] + SEED + right[-1][0] < RUN:
+            return False
+        longest = SEED + right[-1][0]
+        for n1, e1, h1, m1 in left:
+            if n1 + longest < RUN or PART * e1 >= n1 + longest:
+                continue
+            for n2, e2, h2, m2 in right:
+                n = n1 + SEED + n2
+                if n >= RUN and PART * (e1 + e2) < n and max(h1, own, h2) >= max(m1, m2):
+                    return True
+        return False
+
+    there = [(x := spelled[y]) in around.words or x in around.joined for y in item]
+    # words of the item that stand there run together are there too
+    for text in around.words.intersection(runs):
+        for k, b in runs[text]:
+            there[k : k + b] = [True] * b
+
+    def ways(places) -> list[Way]:
+        out, n, e, hit, miss = [(0, 0, LEAST, LEAST)], 0, 0, LEAST, LEAST
+        for k in places:
+            n += 1
+            if there[k]:
+                hit = max(hit, weight[k])
+                out.append((n, e, hit, miss))
+            else:
+                e, miss = e + 1, max(miss, weight[k])
+                if e * PART - n >= RUN:
+                    break
+        return out
+
+    @cache
+    def possible(i: int) -> bool:
+        """Whether some alignment around words i to i + SEED can do: what the document has nowhere is an error in each."""
+        return enough(ways(range(i - 1, -1, -1)), ways(range(i + SEED, len(item))), max(weight[i : i + SEED]))
+
     seen: set[tuple[int, int]] = set()
+    apart = []
     for d, i in seeds:
-        if (d - 1, i - 1) in seen:
-            seen.add((d, i))
-            continue
+        fresh = (d - 1, i - 1) not in seen
         seen.add((d, i))
-        right = _extend(doc, d + SEED, item, i + SEED, joined, 1)
-        left = _extend(doc, d - 1, item, i - 1, joined, -1)
-        for n1, e1 in left:
-            for n2, e2 in right:
-                n = n1 + SEED + n2
-                if n >= RUN and PART * (e1 + e2) < n:
-                    return True
-    return False
+        if fresh and possible(i):
+            own = max(weight[i : i + SEED])
+            apart.append((d, i, own))
+            if enough(_extend(doc, d - 1, item, i - 1, joined, weight, -1), _extend(doc, d + SEED, item, i + SEED, joined, weight, 1), own):
+                return True
+    if not apart:
+        return False
+    how = (whole, weight, [spelled[x] in around.joined for x in item], words, runs)
+    return any(
+        enough(_aligned(doc, d - 1, item, i - 1, *how, -1), _aligned(doc, d + SEED, item, i + SEED, *how, 1), own)
+        for d, i, own in apart
+    )
 
 
-def leaks(documents: DataFrame, items: DataFrame, slice_items: int = 4096) -> DataFrame:
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def _index_of(name: str, items) -> ItemIndex:
+    """The index of the broadcast items; a worker makes it once and holds one at a time."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = ItemIndex(items.value)
+    return _BUILT[name]
+
+
+def leaks(documents: DataFrame, items: DataFrame, slice_items: int = 50_000) -> DataFrame:
     """item_id, doc_id: the documents that hold a part of an item. documents: doc_id, text; items: item_id, text."""
     rows = items.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id")
-    found: DataFrame | None = None
-    # the evaluation set is fixed and small; it comes in slices of bounded size whatever it is
-    slices: list[list[tuple[int, str]]] = [[]]
-    for r in rows.toLocalIterator():
-        if len(slices[-1]) == slice_items:
-            slices.append([])
-        slices[-1].append((r.item_id, r.text))
-    for part in slices:
-        index = documents.sparkSession.sparkContext.broadcast(part)
-
-        def scan(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            own = ItemIndex(index.value)
+    context = documents.sparkSession.sparkContext
+    texts = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
+
+    def against(part: list[tuple[int, str]]) -> DataFrame:
+        index, name = context.broadcast(part), uuid.uuid4().hex
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = _index_of(name, index)
             for pdf in frames:
                 out, ids, texts, held = [], [], [], 0
                 for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
@@ -275,9 +477,18 @@ def leaks(documents: DataFrame, items: DataFrame, slice_items: int = 4096) -> Da
                 out += [(i, d) for d, found in zip(ids, own.leaked(texts), strict=True) for i in found]
                 yield pd.DataFrame(out, columns=["item_id", "doc_id"], dtype="int64")
 
-        one = documents.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(scan, "item_id bigint, doc_id bigint")
-        found = one if found is None else found.unionByName(one)
-    return found.distinct()
+        return texts.mapInPandas(scan, "item_id bigint, doc_id bigint")
+
+    # one slice at a time is in the driver; it goes out before the next comes in
+    found: DataFrame | None = None
+    part: list[tuple[int, str]] = []
+    for r in rows.toLocalIterator():
+        if len(part) == slice_items:
+            found = against(part) if found is None else found.unionByName(against(part))
+            part = []
+        part.append((r.item_id, r.text))
+    last = against(part)
+    return (last if found is None else found.unionByName(last)).distinct()
 
 
 def leak_report(found: DataFrame) -> DataFrame:

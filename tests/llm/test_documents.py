@@ -67,6 +67,50 @@ def test_no_items_and_no_documents(spark):
     assert ct.leaks(frame(spark, []), spark.createDataFrame(ITEM_ROWS, "item_id bigint, text string")).count() == 0
 
 
+def one_leak(doc):
+    own = ct.ItemIndex([(1, ITEM)])
+    return own.leaked([ct.words_of(doc)]) == [[1]]
+
+
+def test_words_broken_and_run_together():
+    words = ITEM.split()
+    assert one_leak(" ".join([*words[:6], words[6] + words[7], *words[8:17]]))
+    assert one_leak(" ".join([*words[:6], words[6][:3], words[6][3:], *words[7:16]]))
+
+
+def test_errors_one_word_apart():
+    words = ITEM.split()[:20]
+    assert one_leak(" ".join([*words[:8], "xx", words[9], "yy", *words[11:]]))
+    assert not one_leak(" ".join([*words[:8], "xx", words[9], "yy", *words[11:15]]))
+
+
+def test_long_markup_is_no_text():
+    assert ct.words_of("<a href='" + "x" * 200 + "'>b</a> 3 < 5 > 4") == ["b", "3", "5", "4"]
+
+
+def test_common_phrases_with_other_names():
+    phrase = "as long as the {} scheme is hosted by {} the appeals panel in the district of {} may renew the account"
+    names = ["korelpo", "bragre", "tamnda", "ponivis", "senkos", "limfo"]
+    own = ct.ItemIndex([(i, phrase.format(names[i], names[(i + 1) % 6] + "s", names[i] + "ta") + f" by {names[i]}") for i in range(6)])
+    other = phrase.format("one", "two", "three")
+    assert own.leaked([ct.words_of(other), ct.words_of(phrase.format(names[2], "two", "tamndata"))]) == [[], [2]]
+
+
+def test_many_items_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(20_000)]
+    tracemalloc.start()
+    own = ct.ItemIndex(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    noise = " ".join(rng.choice(words) for _ in range(2000))
+    assert own.leaked([ct.words_of(noise + " " + " ".join(items[777][1].split()[10:40]) + " " + noise)]) == [[777]]
+
+
 # ---------------------------------------------------------------- languages
 
 
