@@ -119,6 +119,19 @@ def model(spark, sf):
     return lg.fit(spark.read.parquet(f"{sf}/lang_samples.parquet"), spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def test_short_pieces_are_counted(model):
+    clear = "The harbour master shall renew the permit before the end of the year."
+    tail = "Pasal satu. Menteri wajib. Pemilik gudang. Dengan itu. Tidak berlaku. Yang dapat."
+    one = lg.segments("IV. " + clear + " Annex. 12.", model)
+    assert [s[0] for s in one] == [lg.LANGUAGES.index("en")] and one[0][1] == len("IV." + clear + "Annex." + "12.")
+    two = lg.segments(clear + " " + clear + " " + tail, model)
+    assert [lg.LANGUAGES[s[0]] for s in two] == ["en", "id"] and two[1][1] == len(tail) - 5
+
+
+def test_long_words_count_whole(model):
+    assert model["zq" * 40] > model["zq" * 30]
+
+
 def test_samples_and_mixed_texts(spark, sf, model):
     by = {}
     for r in spark.read.parquet(f"{sf}/lang_samples.parquet").collect():
