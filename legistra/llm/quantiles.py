@@ -17,7 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from legistra.operators.scale import running_counts
+from legistra.operators.scale import running_counts, salted_join
+from legistra.session import cut
 
 TINY = 1e-300
 
@@ -59,12 +60,19 @@ def _ordered(sk: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def percentiles(sk: DataFrame, keys: Sequence[str], qs: Sequence[float], accuracy: float = 0.01) -> DataFrame:
-    """keys, q, total, estimate: the value at rank floor(q * (total - 1)), within `accuracy` of it relatively."""
+def percentiles(sk: DataFrame, keys: Sequence[str], qs: Sequence[float], accuracy: float = 0.01, upper: bool = False) -> DataFrame:
+    """keys, q, total, estimate: the value at rank floor(q * (total - 1)), within `accuracy` of it relatively.
+
+    upper adds a row for the value at the next rank up, where q lies between two.
+    """
     gamma = _gamma(accuracy)
     middle = F.col("sign") * F.lit(2.0) * F.pow(F.lit(gamma), F.col("bucket")) / F.lit(gamma + 1)
     asked = _ordered(sk, keys).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     rank = F.floor(F.col("q") * (F.col("total") - 1))
+    if upper:
+        above = F.ceil(F.col("q") * (F.col("total") - 1))
+        asked = asked.withColumn("__rank", F.explode(F.array_distinct(F.array(rank, above))))
+        rank = F.col("__rank")
     hit = asked.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
     return hit.select(*keys, "q", "total", middle.cast("double").alias("estimate"))
 
@@ -101,20 +109,25 @@ def exact_medians(df: DataFrame, keys: Sequence[str], value: str, accuracy: floa
 METRICS = ("elapsed_s", "total_tokens", "llm_calls")
 
 
-def run_values(runs: DataFrame) -> DataFrame:
-    """run_id, system, eval_granularity, day, metric, value: the valid values of each run, a repeated run_id once.
+def unique_runs(runs: DataFrame) -> DataFrame:
+    """run_id, system, eval_granularity, day and the metrics of each run; of repeats that differ, the one logged first stands."""
+    kept = runs.groupBy("run_id").agg(F.min(F.struct("logged_at", "started_at", "system", "eval_granularity", *METRICS)).alias("r"))
+    return kept.select("run_id", "r.system", "r.eval_granularity", F.to_date("r.started_at").alias("day"), *[f"r.{m}" for m in METRICS])
+
+
+def run_values(unique: DataFrame) -> DataFrame:
+    """run_id, system, eval_granularity, day, metric, value: the valid values of unique runs.
 
-    Of repeats that differ, the one logged first stands. Null, NaN and negative values are left out.
+    Null, NaN and negative values are left out.
     """
-    kept = runs.groupBy("run_id").agg(F.min(F.struct("logged_at", "started_at", "system", "eval_granularity", *METRICS)).alias("r"))
-    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"r.{m}").cast("double").alias("value")) for m in METRICS])
-    long = kept.select("run_id", "r.system", "r.eval_granularity", F.to_date("r.started_at").alias("day"), F.inline(each))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])
+    long = unique.select("run_id", "system", "eval_granularity", "day", F.inline(each))
     return long.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") >= 0))
 
 
 def daily_sketch(runs: DataFrame, accuracy: float = 0.01) -> DataFrame:
     """The sketch of every system, granularity, metric and day."""
-    return sketch(run_values(runs), ["system", "eval_granularity", "metric", "day"], "value", accuracy)
+    return sketch(run_values(unique_runs(runs)), ["system", "eval_granularity", "metric", "day"], "value", accuracy)
 
 
 def run_percentiles(runs: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.95, 0.99), accuracy: float = 0.01) -> DataFrame:
@@ -124,10 +137,25 @@ def run_percentiles(runs: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.95, 0.99
 
 
 def outlying_runs(runs: DataFrame, factor: float = 3.0, accuracy: float = 0.01) -> DataFrame:
-    """run_id, metric: runs whose value is more than `factor` times the median of its system and granularity."""
+    """run_id, metric: runs whose value is more than `factor` times the median of its system and granularity.
+
+    The merged sketch's median decides for all values that are farther from the limit than its error; the exact median is
+    only worked out for the groups that have values nearer to it. Both middle values count where their number is even.
+    """
     keys = ["system", "eval_granularity", "metric"]
-    values = run_values(runs)
-    medians = exact_medians(values, keys, "value", accuracy)
-    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    found = values.alias("v").join(medians.alias("m"), same[0] & same[1] & same[2], "inner")
-    return found.where(F.col("v.value") > factor * F.col("m.median")).select("v.run_id", "v.metric")
+    values = run_values(cut(unique_runs(runs)))
+    tag = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys]).alias("__group")
+    sk = merge(sketch(values, [*keys, "day"], "value", accuracy), keys)
+    # the middle values lie in the buckets of these two ranks; a bucket is within `accuracy` of its estimate on both sides
+    middle = percentiles(sk, keys, (0.5,), accuracy, upper=True).select(tag, "q", "estimate")
+    bounds = middle.groupBy("__group").agg((F.min("estimate") * (1 - accuracy)).alias("low"), (F.max("estimate") * (1 + accuracy)).alias("high"))
+    tagged = values.select("run_id", *keys, "value", tag)
+    # a row per group of systems, granularities and metrics; values don't move if these are few
+    judged = salted_join(tagged, bounds, ["__group"], by=["run_id"]).where(F.col("value") >= factor * F.col("low") * (1 - 1e-9))
+    sure = F.col("value") > factor * F.col("high") * (1 + 1e-9)
+    judged = cut(judged.select("run_id", *keys, "value", "__group", sure.alias("sure")))
+    doubtful = judged.where("not sure")
+    asked = doubtful.select("__group").distinct()
+    exact = exact_medians(tagged.join(asked, "__group", "left_semi"), keys, "value", accuracy).select(tag, "median")
+    near = salted_join(doubtful, exact, ["__group"], by=["run_id"]).where(F.col("value") > factor * F.col("median"))
+    return judged.where("sure").select("run_id", "metric").unionByName(near.select("run_id", "metric"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from legistra.llm import contamination, cross_split, fusion, languages, packing, quantiles, scans, splits
 from legistra.llm.lexicons import INDONESIAN
+from legistra.plans.corpus import DOC
 from legistra.sources.tables import table
 
 
@@ -48,7 +51,8 @@ def p7_found(spark, sf):
 
 
 def p7_percentiles(spark, sf):
-    return quantiles.run_percentiles(table(spark, sf, "query_runs"))
+    p = quantiles.run_percentiles(table(spark, sf, "query_runs"))
+    return p.withColumn("estimate", F.round("estimate", 6))
 
 
 def p8_containers(spark, sf):
@@ -109,6 +113,25 @@ m AS (SELECT system, eval_granularity, metric, median(value) AS med FROM v GROUP
 SELECT run_id, v.metric FROM v JOIN m ON v.system IS NOT DISTINCT FROM m.system
   AND v.eval_granularity IS NOT DISTINCT FROM m.eval_granularity AND v.metric = m.metric
 WHERE value > 3 * med""",
+    "p7_percentiles": f"""
+WITH runs AS (SELECT * FROM query_runs QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY logged_at, started_at) = 1),
+v AS ({_VALUES}),
+b AS (SELECT system, eval_granularity, metric, CASE WHEN value < 1e-300 THEN 0 ELSE 1 END AS sign,
+  CASE WHEN value < 1e-300 THEN 0 ELSE ceil(ln(value) / ln(1.01::DOUBLE / 0.99::DOUBLE)) END AS bucket FROM v),
+c AS (SELECT *, count(*) AS n FROM b GROUP BY ALL),
+o AS (SELECT *, sum(n) OVER (PARTITION BY system, eval_granularity, metric ORDER BY sign, bucket) AS upto, sum(n) OVER (PARTITION BY system, eval_granularity, metric) AS total FROM c)
+SELECT system, eval_granularity, metric, q, total::BIGINT AS total, round(sign * 2.0::DOUBLE * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) / (1.01::DOUBLE / 0.99::DOUBLE + 1), 6) AS estimate
+FROM o, (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS q) WHERE upto > floor(q * (total - 1)) AND upto - n <= floor(q * (total - 1))""",
+    "p1_found": f"""
+WITH RECURSIVE r AS (SELECT DISTINCT query_id, nullif(regexp_replace(lower(query), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '') AS qk,
+  list_filter(list_transform(list_concat([gold_doc_id], coalesce(gold_doc_ids, [])), lambda x: {DOC.format(c="x")}), lambda x: x IS NOT NULL) AS ds FROM gt_items),
+k AS (SELECT query_id, 'd:' || unnest(ds) AS v FROM r UNION SELECT query_id, 'q:' || qk FROM r WHERE qk IS NOT NULL UNION SELECT query_id, 'r:' || coalesce(query_id::VARCHAR, '') FROM r),
+h AS (SELECT query_id, min(v) AS hub FROM k GROUP BY 1),
+e AS (SELECT DISTINCT hub AS a, v AS b FROM h JOIN k ON h.query_id IS NOT DISTINCT FROM k.query_id WHERE hub <> v),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w(v, x) AS (SELECT DISTINCT v, v FROM k UNION SELECT s.b, w.x FROM w JOIN s ON s.a = w.v),
+g AS (SELECT v, min(CASE WHEN starts_with(x, 'd:') THEN substr(x, 3) END) AS group_doc FROM w GROUP BY 1)
+SELECT query_id, min(group_doc) AS group_doc FROM h JOIN g ON g.v = h.hub GROUP BY 1""",
 }
 
 
