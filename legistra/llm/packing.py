@@ -133,9 +133,10 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
 
 
 def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    capacity = int(pdf["capacity"].iloc[0])
+    """A block's pieces with their container and how full that is."""
     pdf = pdf.sort_values(["place", "doc_id", "piece_no"], kind="stable")
-    return pdf.assign(container=best_fit(pdf["tokens"].astype(int).tolist(), capacity)).drop(columns=["__block"])
+    where = best_fit(pdf["tokens"].astype(int).tolist(), int(pdf["capacity"].iloc[0]))
+    return pdf.assign(container=where, used=pdf["tokens"].groupby(where).transform("sum").astype("int64"))
 
 
 def packed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, rounds: int = 3, full_enough: float = 0.98) -> DataFrame:
@@ -170,9 +171,8 @@ def packed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
         # blocks along the curve; a task's rows are numbered in their order
         numbered = ranged.mapInPandas(_numbered, "target_name string, capacity bigint, place bigint, doc_id bigint, piece_no bigint, tokens bigint, __block string")
         last = number == rounds
-        put = cut(numbered.groupBy("__block").applyInPandas(lambda _, pdf: _with_block(pdf), schema + ", __block string"))
-        fill = put.groupBy("__block", "target_name", "container").agg(F.sum("tokens").alias("used"))
-        judged = put.join(fill, ["__block", "target_name", "container"]).withColumn("full", F.lit(last) | (F.col("used") >= full_enough * F.col("capacity")))
+        put = cut(numbered.groupBy("__block").applyInPandas(_pack_block, schema + ", used bigint, __block string"))
+        judged = put.withColumn("full", F.lit(last) | (F.col("used") >= full_enough * F.col("capacity")))
         done.append(
             judged.where("full").select(
                 "target_name", F.concat_ws("-", F.lit(str(number)), "__block", F.hex("container")).alias("container_id"), "doc_id", "piece_no", "tokens"
@@ -185,11 +185,6 @@ def packed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
     return out
 
 
-def _with_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    block = pdf["__block"].iloc[0]
-    return _pack_block(pdf).assign(__block=block)
-
-
 def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
