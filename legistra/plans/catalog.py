@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legistra.plans import analysis, corpus, search
+from legistra.plans import analysis, corpus, reading, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (corpus, search, analysis)
+GROUPS = (corpus, search, analysis, reading)
 
 
 def queries() -> dict[str, Query]:

@@ -81,11 +81,16 @@ def r_bm25_candidates20(spark, sf):
     return rt.top_k(scored, 20, ["load_id"]).select("query_id", "load_id", "score", "rank")
 
 
+def _summaries(current):
+    """doc_id, summaries: what a document's articles are about, in reading order, one a line."""
+    cur = current.where("granularity = 'pasal' and summary is not null and trim(summary) <> ''")
+    sums = cur.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord_path", "node_id", "summary"))).alias("s"))
+    return sums.select("doc_id", F.array_join(F.transform("s", lambda x: F.trim(x["summary"])), "\n").alias("summaries"))
+
+
 def _catalog(spark, sf):
     reg = ct.newest(table(spark, sf, "registry").where("doc_id is not null"), ["doc_id"], ["scraped_at", "scrape_id"])
-    cur = ct.current_nodes(table(spark, sf, "nodes")).where("granularity = 'pasal' and summary is not null and trim(summary) <> ''")
-    sums = cur.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord_path", "node_id", "summary"))).alias("s"))
-    sums = sums.select("doc_id", F.array_join(F.transform("s", lambda x: F.trim(x["summary"])), "\n").alias("summaries"))
+    sums = _summaries(ct.current_nodes(table(spark, sf, "nodes")))
     parts = [F.coalesce(c, F.lit("")) for c in ("judul", "jenis_folder", "bentuk_singkat")]
     text = F.concat_ws(" ", *parts)
     text = F.when(F.coalesce("summaries", F.lit("")) != "", F.concat_ws(" ", text, "summaries")).otherwise(text)
