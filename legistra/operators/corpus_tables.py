@@ -92,15 +92,21 @@ def granularity_suspects(current: DataFrame) -> DataFrame:
 
 
 def leaf_lengths(current: DataFrame) -> DataFrame:
-    """Lengths of leaf texts per granularity: number, mean, median, p95, p99, longest, share over 500 characters."""
-    size = F.length("text")
-    return (
-        leaves(current).groupBy("granularity")
-        .agg(
-            F.count("*").alias("n"), F.round(F.avg(size), 4).alias("mean_chars"),
-            *[F.round(F.percentile(size, F.lit(q)), 4).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)],
-            F.max(size).cast("bigint").alias("longest"), F.round(100 * F.avg((size > 500).cast("double")), 4).alias("over_500_percent"),
-        )
+    """Lengths of leaf texts per granularity: number, mean, median, p95, p99, longest, shares over 5,000 and 10,000 characters.
+
+    The percentiles are values as they stand, at place floor(n * q) from 0. Lengths are counted first, so what is ordered are
+    distinct lengths.
+    """
+    counted = leaves(current).groupBy("granularity", F.length("text").alias("size")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("granularity").orderBy("size")
+    placed = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("granularity")))
+    at = lambda q: F.floor(F.col("n") * F.lit(q))
+    holds = lambda q: (F.col("upto") > at(q)) & (F.col("upto") - F.col("c") <= at(q))
+    over = lambda size: F.round(100 * F.sum(F.when(F.col("size") > size, F.col("c")).otherwise(0)) / F.sum("c"), 1)
+    return placed.groupBy("granularity").agg(
+        F.sum("c").alias("n"), F.round(F.sum(F.col("size") * F.col("c")) / F.sum("c")).cast("bigint").alias("mean_chars"),
+        *[F.max(F.when(holds(q), F.col("size"))).cast("bigint").alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)],
+        F.max("size").cast("bigint").alias("longest"), over(5000).alias("over_5000_percent"), over(10_000).alias("over_10000_percent"),
     )
 
 

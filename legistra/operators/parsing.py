@@ -82,7 +82,7 @@ def article_chunks(pages: DataFrame, per_chunk: int = 20, overlap: int = 1) -> D
     firsts = counted.where(F.col("i") % per_chunk == 0).withColumn("chunk", F.floor(F.col("i") / per_chunk))
     after = F.lead("page_num").over(Window.partitionBy("doc_id").orderBy("chunk"))
     start = F.when(F.col("chunk") == 0, 1).otherwise(F.col("page_num"))
-    end = F.coalesce(F.greatest(F.col("start"), F.col("after") - 1), F.col("total"))
+    end = F.when(F.col("after").isNull(), F.col("total")).otherwise(F.greatest(F.col("start"), F.col("after") - 1))
     spans = firsts.withColumn("after", after).withColumn("start", start).join(total, "doc_id").withColumn("end", end)
     return spans.select(
         "doc_id", (F.col("chunk") + 1).cast("int").alias("chunk_no"), F.greatest(F.lit(1), F.col("start") - overlap).alias("first_page"), F.least("total", F.col("end") + overlap).alias("last_page")

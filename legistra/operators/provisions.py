@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # scanner's errors in headings, as (pattern, replacement), in this order.
-HEADING_FIXES = ((r"(?i)\bPasa[l1I]\b", "Pasal"), (r"(?i)\bBA[B8]\b", "BAB"), (r"(?i)\bBagi[a@]n\b", "Bagian"), (r"(?i)\bAy[a@]t\b", "Ayat"), (r"[ \t]+", " "))
+HEADING_FIXES = (
+    (r"\bPasal(\d)", "Pasal $1"),
+    (r"(?m)^Pasal\s+(\d)\s+(\d{1,2})\s*$", "Pasal $1$2"),
+    (r"\bPasal\s+(\d{1,3})O\b", "Pasal ${1}0"),
+    (r"\bPasal\s+(\d{1,3})l\b", "Pasal ${1}1"),
+    (r"\bPasa[T1I](\s+\d)", "Pasal$1"),
+    (r"(?m)^(\s*\d+)O(\.\s)", "${1}0$2"),
+    (r"(?m)^(\s*\d+)l(\.\s)", "${1}1$2"),
+)
 
 
 def deep_split(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,11 +35,11 @@ def deep_split(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fixed_heading(line: Column) -> Column:
-    """A heading line with common scanner's errors mended, and blanks as one."""
+    """A text with the scanner's common errors in article headings and item numbers mended."""
     out = line
     for pattern, replacement in HEADING_FIXES:
-        out = F.regexp_replace(out, pattern, replacement)
-    return F.trim(out)
+        out = F.regexp_replace(out, pattern, replacement.replace("${1}", "$1"))
+    return out
 
 
 def document_checks(current: DataFrame) -> DataFrame:

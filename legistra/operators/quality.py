@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from legistra.functions.ids import canonical_doc, canonical_node, gold_doc
-from legistra.operators.corpus_tables import newest
+from legistra.operators.corpus_tables import current_nodes, newest
 from legistra.operators.scale import running_counts
 
 TYPES = ("factual", "paraphrased", "multihop")
@@ -50,15 +50,35 @@ def collected(gt_items: DataFrame) -> DataFrame:
 
 
 def quality_scores(nodes: DataFrame) -> DataFrame:
-    """doc_id, n_nodes, score, verdict: 100 less points for surplus loads, empty leaves and broken pages."""
-    g = nodes.where("doc_id is not null").groupBy("doc_id").agg(
-        F.count("*").alias("n_nodes"),
-        (F.count("*") - F.count_distinct("granularity", "node_id")).alias("surplus"),
-        F.sum((F.col("is_leaf") & (F.coalesce(F.trim("text"), F.lit("")) == "")).cast("bigint")).alias("empty"),
-        F.sum((F.col("start_index") > F.col("end_index")).cast("bigint")).alias("broken"),
-    )
-    points = 100 - F.least(F.lit(15), 2 * F.col("surplus")) - F.least(F.lit(25), 8 * F.coalesce("empty", F.lit(0))) - F.when(F.col("broken") > 0, 15).otherwise(0)
-    return g.select("doc_id", "n_nodes", points.cast("bigint").alias("score"), F.when(points >= 90, "OK").when(points >= 70, "PARTIAL").otherwise("FAIL").alias("verdict"))
+    """doc_id, n_articles, score, verdict of a document's articles (granularity pasal).
+
+    100 times the share of the expected articles, less 15 if their numbers fall in reading order, 2 for every number that is absent
+    between the least and the largest (15 at most), 5 for every leaf whose text holds another article's heading (20 at most), 8
+    for every leaf that says next to nothing (25 at most), and 1 for every leaf that should have been split (10 at most).
+    Expected are the articles that the loads of the document ever had.
+    """
+    rows = nodes.where("granularity = 'pasal' and doc_id is not null and node_id is not null")
+    expected = rows.where(F.col("node_id").rlike("^pasal_[0-9]+")).groupBy("doc_id").agg(F.count_distinct("node_id").alias("expected"))
+    number = F.nullif(F.regexp_extract("node_id", r"^pasal_([0-9]+)", 1), F.lit("")).cast("int")
+    text, title = F.trim(F.coalesce("text", F.lit(""))), F.trim(F.coalesce("title", F.lit("")))
+    marks = lambda pattern: F.size(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(1))))
+    cur = current_nodes(rows).withColumn("num", number)
+    w = Window.partitionBy("doc_id").orderBy("ord_path", "node_id")
+    marked = cur.withColumn("falls", F.col("num") < F.lag("num").over(w)).withColumns({
+        "empty": F.col("is_leaf") & title.rlike(r"^Pasal\s+\d") & ((F.length(text) < 30) | (text == title)),
+        "bleeds": F.col("is_leaf") & F.coalesce(F.col("text").rlike(r"(?m)\n\s*Pasal\s+\d+[A-Z]?\s*$"), F.lit(False)),
+        "unsplit": F.col("is_leaf") & ((marks(r"(?m)^\((\d+)\)\s") >= 2) | (marks(r"(?m)^([a-z])\.\s") >= 3) | (marks(r"(?m)^(\d+)\.\s") >= 3)),
+    })
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0))
+    g = marked.groupBy("doc_id").agg(
+        F.count_distinct("node_id").alias("actual"), F.count_distinct("num").alias("n_articles"), (F.max("num") - F.min("num") + 1).alias("span"),
+        n("falls").alias("falls"), n("empty").alias("empty"), n("bleeds").alias("bleeds"), n("unsplit").alias("unsplit"),
+    ).join(expected, "doc_id", "left")
+    complete = F.least(F.lit(1.0), F.coalesce(F.col("actual") / F.col("expected"), F.lit(1.0)))
+    gaps = F.coalesce(F.col("span") - F.col("n_articles"), F.lit(0))
+    points = 100.0 * complete - F.when(F.col("falls") > 0, 15).otherwise(0) - F.least(F.lit(15), 2 * gaps) - F.least(F.lit(20), 5 * F.col("bleeds"))
+    score = F.greatest(F.lit(0.0), F.round(points - F.least(F.lit(25), 8 * F.col("empty")) - F.least(F.lit(10), F.col("unsplit")), 1))
+    return g.select("doc_id", "n_articles", score.alias("score"), F.when(score >= 90, "OK").when(score >= 70, "PARTIAL").otherwise("FAIL").alias("verdict"))
 
 
 def eligibility(registry: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -52,6 +52,9 @@ def two_sided_p(t: float) -> float:
     return 1 - math.erf(abs(t) / math.sqrt(2))
 
 
+POISSON_STEPS = 13  # beyond it no hash of 32 bits lies
+
+
 def bootstrap_hash(values: DataFrame, key: str, group: str, value: str, resamples: int = 200) -> DataFrame:
     """group, n, mean, low, high: a Poisson bootstrap whose weights come from hashes, so that it is the same everywhere.
 
@@ -61,7 +64,7 @@ def bootstrap_hash(values: DataFrame, key: str, group: str, value: str, resample
     spread = values.select(group, value, F.md5(F.col(key).cast("string")).alias("__h"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", "__h", F.col("r").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     weight, cumulative, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 9):  # the Poisson quantile of u
+    for k in range(1, POISSON_STEPS + 1):  # the Poisson quantile of u
         cumulative += term
         term /= k
         weight = weight + F.when(u >= round(cumulative, 12), 1).otherwise(0)

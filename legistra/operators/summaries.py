@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from legistra.operators.corpus_tables import newest
 
-# Substrings of error texts, the first class that matches wins.
+# Substrings of error texts, the first class that matches wins; & stands between two that must both be there.
 ERROR_CLASSES = (
-    ("missing-index", ("no such file", "not found", "missing index")),
-    ("llm-empty", ("empty response", "no answer")),
-    ("rate-limit", ("rate limit", "quota", "429")),
-    ("network", ("connection", "network", "unreachable", "dns")),
-    ("worker-crash", ("worker", "crash", "killed")),
-)
+    ("missing-index", ("errno 2", "no such file", "filenotfound")),
+    ("llm-empty", ("no relevant",)),
+    ("rate-limit", ("429", "quota", "resource_exhausted", "rate limit", "too many requests")),
+    ("network", (
+        "getaddrinfo", "connection", "timed out", "timeout", "dns", "unreachable", "reset by peer", "eof occurred",
+        "500", "502", "503", "504", "service unavailable", "overloaded",
+    )),
+    ("worker-crash", ("json&decode", "json&invalid", "non-json", "worker exited")),
+)
+# Seconds to wait before the first and the later tries again; other classes are not tried again.
+BACKOFF = {"rate-limit": (30, 90), "network": (15, 45), "worker-crash": (15, 45)}
 # Price of a million tokens, input and output, by model.
 PRICES = (("model-a", 0.15, 0.6), ("model-b", 0.8, 4.0))
 
@@ -34,7 +39,10 @@ def error_class(error: Column) -> Column:
     for name, parts in reversed(ERROR_CLASSES):
         hit = F.lit(False)
         for p in parts:
-            hit = hit | F.contains(low, F.lit(p))
+            every = F.lit(True)
+            for piece in p.split("&"):
+                every = every & F.contains(low, F.lit(piece))
+            hit = hit | every
         out = F.when(hit, name).otherwise(out)
     return F.when(failed(error), out)
 
@@ -51,10 +59,15 @@ def combo_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def slices(runs: DataFrame) -> DataFrame:
-    """Runs and successes by each of four fields by itself: slice, value, n, success_rate."""
-    fields = ("system", "eval_granularity", "query_type", "llm_model")
-    r = unique_runs(runs).select(*[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields], F.col("worker_ok").cast("double").alias("ok"))
+SLICES = ("reference_mode", "query_style", "gold_doc_id", "query_type")
+
+
+def slices(runs: DataFrame, gt_items: DataFrame) -> DataFrame:
+    """Runs and successes by each of four fields of the question by itself: slice, value, n, success_rate; null as ''."""
+    fields = SLICES
+    about = gt_items.groupBy("query_id").agg(*[F.min(f).alias(f) for f in ("reference_mode", "query_style")])
+    joined = unique_runs(runs).join(about, "query_id", "left")
+    r = joined.select(*[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields], F.col("worker_ok").cast("double").alias("ok"))
     each = r.select("ok", F.inline(F.array(*[F.struct(F.lit(f).alias("slice"), F.col(f).alias("value")) for f in fields])))
     return each.groupBy("slice", "value").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("ok", F.lit(1.0))), 4).alias("success_rate"))
 
@@ -88,6 +101,15 @@ def nearest_percentiles(runs: DataFrame) -> DataFrame:
     )
 
 
+def retry_plan(runs: DataFrame) -> DataFrame:
+    """run_id, error_class, retryable, wait_s: what is to be done about a run that failed, by its class and the tries it had."""
+    r = unique_runs(runs).withColumn("error_class", error_class(F.col("error"))).where("error_class is not null")
+    wait = F.lit(None).cast("int")
+    for name, (first, later) in BACKOFF.items():
+        wait = F.when(F.col("error_class") == name, F.when(F.coalesce("retry_count", F.lit(0)) == 0, first).otherwise(later)).otherwise(wait)
+    return r.select("run_id", "error_class", wait.isNotNull().alias("retryable"), wait.alias("wait_s"))
+
+
 def errors_by_class(runs: DataFrame) -> DataFrame:
     """error_class, system, n of runs with an error."""
     r = unique_runs(runs).withColumn("error_class", error_class(F.col("error")))

@@ -153,7 +153,7 @@ def a_combo_summary(spark, sf):
 
 
 def a_slices(spark, sf):
-    return sm.slices(_runs(spark, sf))
+    return sm.slices(_runs(spark, sf), _gt(spark, sf))
 
 
 def a_totals(spark, sf):
@@ -172,6 +172,10 @@ def a_error_classes(spark, sf):
     return sm.errors_by_class(_runs(spark, sf))
 
 
+def a_retry_plan(spark, sf):
+    return sm.retry_plan(_runs(spark, sf))
+
+
 def a_token_cost(spark, sf):
     return sm.token_cost(_runs(spark, sf), spark.createDataFrame(list(sm.PRICES), "llm_model string, input_price double, output_price double"))
 
@@ -316,8 +320,8 @@ def x_deep_split(spark, sf):
 
 
 def x_headings(spark, sf):
-    """Titles of raw documents with blanks and scanner's errors mended."""
-    return _reg(spark, sf).where("judul is not null").select("scrape_id", pv.fixed_heading(F.col("judul")).alias("title"))
+    """Texts with the scanner's errors in headings and item numbers mended."""
+    return _texts(spark, sf).select("load_id", F.md5(pv.fixed_heading(F.col("text"))).alias("text_md5"))
 
 
 def d_document_checks(spark, sf):
@@ -374,7 +378,7 @@ PAIRS = f"""{U}, pr AS (SELECT query_id, eval_granularity, avg(elapsed_s) FILTER
 def _error_case():
     out = "'other'"
     for name, parts in reversed(sm.ERROR_CLASSES):
-        cond = " OR ".join(f"contains(lower(error), '{p}')" for p in parts)
+        cond = " OR ".join("(" + " AND ".join(f"contains(lower(error), '{x}')" for x in p.split("&")) + ")" for p in parts)
         out = f"CASE WHEN {cond} THEN '{name}' ELSE {out} END"
     return out
 
@@ -390,17 +394,23 @@ def _poisson():
     import math
 
     parts, cumulative, term = [], 0.0, math.exp(-1)
-    for k in range(1, 9):
+    for k in range(1, st.POISSON_STEPS + 1):
         cumulative += term
         term /= k
         parts.append(f"CASE WHEN uu >= {round(cumulative, 12)}::DOUBLE THEN 1 ELSE 0 END")
     return " + ".join(parts)
 
 
-QUAL = """ql AS (SELECT doc_id, count(*) AS n_nodes, count(*) - count(DISTINCT CASE WHEN granularity IS NOT NULL AND node_id IS NOT NULL THEN granularity || '|' || node_id END) AS surplus,
-  count(*) FILTER (WHERE is_leaf AND coalesce(trim(text), '') = '') AS empty, count(*) FILTER (WHERE start_index > end_index) AS broken FROM nodes WHERE doc_id IS NOT NULL GROUP BY 1),
-qs AS (SELECT doc_id, n_nodes, 100 - least(15, 2 * surplus) - least(25, 8 * empty) - CASE WHEN broken > 0 THEN 15 ELSE 0 END AS score FROM ql),
-qv AS (SELECT doc_id, n_nodes, score, CASE WHEN score >= 90 THEN 'OK' WHEN score >= 70 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM qs)"""
+QUAL = f"""{CUR}, qx AS (SELECT doc_id, count(DISTINCT node_id) AS expected FROM nodes WHERE granularity = 'pasal' AND doc_id IS NOT NULL AND regexp_matches(node_id, '^pasal_[0-9]+') GROUP BY 1),
+qn AS (SELECT *, nullif(regexp_extract(node_id, '^pasal_([0-9]+)', 1), '')::INT AS num, trim(coalesce(text, '')) AS tx, trim(coalesce(title, '')) AS ti FROM cur WHERE granularity = 'pasal'),
+qm AS (SELECT *, num < lag(num) OVER (PARTITION BY doc_id ORDER BY ord_path, node_id) AS falls, is_leaf AND regexp_matches(ti, '^Pasal\\s+\\d') AND (length(tx) < 30 OR tx = ti) AS empty,
+  is_leaf AND coalesce(regexp_matches(text, '(?m)\\n\\s*Pasal\\s+\\d+[A-Z]?\\s*$'), false) AS bleeds, is_leaf AND (len(list_distinct(regexp_extract_all(coalesce(text, ''), '(?m)^\\((\\d+)\\)\\s', 1))) >= 2
+  OR len(list_distinct(regexp_extract_all(coalesce(text, ''), '(?m)^([a-z])\\.\\s', 1))) >= 3 OR len(list_distinct(regexp_extract_all(coalesce(text, ''), '(?m)^(\\d+)\\.\\s', 1))) >= 3) AS unsplit FROM qn),
+ql AS (SELECT doc_id, count(DISTINCT node_id) AS actual, count(DISTINCT num) AS n_articles, coalesce(max(num) - min(num) + 1 - count(DISTINCT num), 0) AS gaps, count(*) FILTER (WHERE falls) AS falls, count(*) FILTER (WHERE empty) AS empty,
+  count(*) FILTER (WHERE bleeds) AS bleeds, count(*) FILTER (WHERE unsplit) AS unsplit FROM qm GROUP BY 1),
+qs AS (SELECT ql.doc_id, n_articles, greatest(0.0::DOUBLE, round(100.0::DOUBLE * least(1.0::DOUBLE, coalesce(actual / expected::DOUBLE, 1.0::DOUBLE)) - CASE WHEN falls > 0 THEN 15 ELSE 0 END - least(15, 2 * gaps) - least(20, 5 * bleeds)
+  - least(25, 8 * empty) - least(10, unsplit), 1)) AS score FROM ql LEFT JOIN qx ON qx.doc_id = ql.doc_id),
+qv AS (SELECT doc_id, n_articles, score, CASE WHEN score >= 90 THEN 'OK' WHEN score >= 70 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM qs)"""
 SHARES = "(VALUES (0, 'dev', 0.4::DOUBLE), (1, 'val', 0.3::DOUBLE), (2, 'test', 0.3::DOUBLE)) AS p(i, part, share)"
 
 LN_DEEP = f"""WITH {LINES}, m AS (SELECT *, nullif(regexp_extract(line, '^\\(([0-9]+)\\) ', 1), '') AS a, nullif(regexp_extract(line, '^([a-z])\\. ', 1), '') AS h FROM ln),
@@ -411,7 +421,7 @@ SELECT load_id, part, ayat, huruf, count(*) AS n_lines, md5(string_agg(line, chr
 
 def _headings(c):
     for pattern, replacement in pv.HEADING_FIXES:
-        c = f"regexp_replace({c}, '{pattern}', '{replacement}', 'g')"
+        c = f"regexp_replace({c}, '{pattern}', '{replacement.replace('${1}', '$1').replace('$', chr(92))}', 'g')"
     return c
 
 
@@ -423,8 +433,9 @@ ORACLES = {
     "t_duplicate_loads": "SELECT granularity, doc_id, count(*) AS n_rows, count(DISTINCT node_id) AS n_nodes, count(*) - count(DISTINCT node_id) AS n_surplus FROM nodes GROUP BY ALL",
     "t_leaf_counts": f"WITH {CUR}, {LC} SELECT * FROM lc",
     "t_granularity_suspects": f"WITH {CUR}, {LC} SELECT * FROM lc WHERE (pasal > ayat AND ayat > 0) OR (ayat > rincian AND rincian > 0)",
-    "t_leaf_lengths": f"""WITH {CUR}, {LEAF} SELECT granularity, count(*) AS n, round(avg(length(text)), 4) AS mean_chars, round(quantile_cont(length(text), 0.5), 4)::DOUBLE AS p50, round(quantile_cont(length(text), 0.95), 4)::DOUBLE AS p95,
-  round(quantile_cont(length(text), 0.99), 4)::DOUBLE AS p99, max(length(text)) AS longest, round(100 * avg(CASE WHEN length(text) > 500 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS over_500_percent FROM leaf GROUP BY 1""",
+    "t_leaf_lengths": f"""WITH {CUR}, {LEAF}, r AS (SELECT granularity, length(text) AS size, row_number() OVER (PARTITION BY granularity ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY granularity) AS n FROM leaf)
+SELECT granularity, count(*) AS n, round(avg(size))::BIGINT AS mean_chars, max(size) FILTER (WHERE i = floor(n * 0.5::DOUBLE)) AS p50, max(size) FILTER (WHERE i = floor(n * 0.95::DOUBLE)) AS p95, max(size) FILTER (WHERE i = floor(n * 0.99::DOUBLE)) AS p99, max(size) AS longest,
+  round(100 * avg(CASE WHEN size > 5000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 1) AS over_5000_percent, round(100 * avg(CASE WHEN size > 10000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 1) AS over_10000_percent FROM r GROUP BY 1""",
     "t_depth_branching": f"WITH {CUR}, p AS (SELECT granularity, doc_id, depth, count(*) AS n FROM cur GROUP BY ALL) SELECT granularity, depth, sum(n)::BIGINT AS n_nodes, count(*) AS n_docs, round(avg(n), 6) AS mean_branching, max(n) AS most FROM p GROUP BY ALL",
     "t_rollup_text": f"""WITH {CUR}, {LEAF}, r AS (SELECT doc_id, regexp_extract(node_id, '^(.*?pasal_[0-9A-Za-z]+)', 1) AS pasal, ord_path, node_id, text FROM leaf WHERE granularity = 'rincian'),
 g AS (SELECT doc_id, pasal, count(*) AS n_leaves, string_agg(text, chr(10) ORDER BY ord_path, node_id, text) AS t FROM r WHERE pasal <> '' GROUP BY ALL) SELECT doc_id, pasal, n_leaves, length(t) AS n_chars, md5(t) AS text_md5 FROM g""",
@@ -438,9 +449,8 @@ SELECT a.doc_id, a.node_id, arg_max(leaf_id, length(leaf_id)) AS leaf_id FROM a
     "x_markers": f"WITH {MARK} SELECT * FROM found",
     "x_split_clauses": f"""WITH {LINES}, p AS (SELECT load_id, pos, line, sum(CASE WHEN regexp_matches(line, '^\\([0-9]+\\) ') THEN 1 ELSE 0 END) OVER (PARTITION BY load_id ORDER BY pos)::BIGINT AS part FROM ln),
 g AS (SELECT load_id, part, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS t FROM p GROUP BY ALL) SELECT load_id, part, regexp_extract(t, '^\\(([0-9]+)\\) ', 1) AS label, n_lines, md5(t) AS text_md5 FROM g""",
-    "x_numbering_gaps": f"""WITH {MARK}, n AS (SELECT load_id, regexp_extract(label, '([0-9]+)', 1)::INT AS n FROM found WHERE kind = 'ayat'),
-r AS (SELECT load_id, min(n) AS lo, max(n) AS hi FROM n GROUP BY 1 HAVING hi - lo < 10000), s AS (SELECT load_id, unnest(range(lo, hi + 1))::INT AS missing FROM r)
-SELECT load_id, missing FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.load_id = s.load_id AND n.n = s.missing)""",
+    "x_numbering_gaps": f"""WITH {MARK}, n AS (SELECT DISTINCT load_id, regexp_extract(label, '([0-9]+)', 1)::INT AS n FROM found WHERE kind = 'ayat'),
+a AS (SELECT *, lead(n) OVER (PARTITION BY load_id ORDER BY n) AS nx FROM n) SELECT load_id, unnest(range(n + 1, nx))::INT AS missing FROM a WHERE nx - n > 1""",
     "x_page_chunks": """WITH s AS (SELECT raw_id, total_pages AS n, unnest(range(1, (greatest(1, ceil((total_pages - 10) / 6.0)::INT * 6 + 1) + 1)::BIGINT, 6))::INT AS first_page FROM tree_docs WHERE total_pages >= 1)
 SELECT raw_id, row_number() OVER (PARTITION BY raw_id ORDER BY first_page)::INT AS chunk_no, first_page, least(first_page + 9, n) AS last_page FROM s""",
     "x_reference_mode": """WITH q AS (SELECT DISTINCT query_id, query, reference_mode, regexp_matches(query, '(?i)\\b(pasal|ayat|huruf)\\s+\\(?[0-9a-z]+') AS l, regexp_matches(query, '(?i)\\b(uu|pp|perpres|perda|pergub|permen[a-z]*|peraturan[a-z]*)\\s+(nomor|no)\\b') AS d FROM gt_items WHERE query IS NOT NULL)
@@ -456,7 +466,10 @@ SELECT query_id, round(raw, 3) AS overlap, raw IS NULL OR raw > 0.4 AS flagged F
 SELECT load_id, coalesce(length(text)::DOUBLE / nullif(length(old), 0) BETWEEN 0.85 AND 1.15 AND len(regexp_extract_all(text, '\\([0-9]+\\)')) >= len(regexp_extract_all(old, '\\([0-9]+\\)')), false) AS accepted FROM o WHERE nth > 1""",
     "a_combo_summary": f"""WITH {U} SELECT system, eval_granularity, count(*) AS n, count(*) FILTER (WHERE error <> '') AS n_errors, round(avg(coalesce(elapsed_s, 0)), 8) AS mean_elapsed_s,
   round(avg(coalesce(total_tokens, 0)), 8) AS mean_tokens, round(avg(coalesce(llm_calls, 0)), 8) AS mean_calls FROM u GROUP BY ALL""",
-    "a_slices": f"WITH {U} " + " UNION ALL ".join(f"SELECT '{f}' AS slice, coalesce({f}, '') AS value, count(*) AS n, round(avg(CASE WHEN worker_ok THEN 1.0::DOUBLE WHEN NOT worker_ok THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS success_rate FROM u GROUP BY ALL" for f in ("system", "eval_granularity", "query_type", "llm_model")),
+    "a_slices": f"WITH {U}, g AS (SELECT query_id, min(reference_mode) AS reference_mode, min(query_style) AS query_style FROM gt_items GROUP BY 1), j AS (SELECT u.*, reference_mode, query_style FROM u LEFT JOIN g USING (query_id)) "
+    + " UNION ALL ".join(f"SELECT '{f}' AS slice, coalesce({f}, '') AS value, count(*) AS n, round(avg(CASE WHEN worker_ok THEN 1.0::DOUBLE WHEN NOT worker_ok THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS success_rate FROM j GROUP BY ALL" for f in sm.SLICES),
+    "a_retry_plan": f"""WITH {U}, c AS (SELECT run_id, {_error_case()} AS error_class, coalesce(retry_count, 0) AS tries FROM u WHERE error <> ''), w AS (SELECT *, CASE WHEN error_class = 'rate-limit' THEN CASE WHEN tries = 0 THEN 30 ELSE 90 END WHEN error_class IN ('network', 'worker-crash') THEN CASE WHEN tries = 0 THEN 15 ELSE 45 END END AS wait_s FROM c)
+SELECT run_id, error_class, wait_s IS NOT NULL AS retryable, wait_s FROM w""",
     "a_totals": f"WITH {U} SELECT system, eval_granularity, grouping_id(system, eval_granularity)::INT AS level, count(*) AS n, sum(coalesce(total_tokens, 0))::BIGINT AS tokens, sum(coalesce(llm_calls, 0))::BIGINT AS calls FROM u WHERE coalesce(worker_ok, true) GROUP BY ROLLUP (system, eval_granularity)",
     "a_percentiles": f"WITH {U} SELECT system, round(quantile_cont(elapsed_s, 0.5), 8) AS p50, round(quantile_cont(elapsed_s, 0.95), 8) AS p95, round(quantile_cont(elapsed_s, 0.99), 8) AS p99 FROM u WHERE elapsed_s >= 0 GROUP BY 1",
     "a_nearest_percentiles": f"""WITH {U}, r AS (SELECT system, total_tokens, row_number() OVER (PARTITION BY system ORDER BY total_tokens) - 1 AS i, count(*) OVER (PARTITION BY system) AS n FROM u WHERE total_tokens >= 0)
@@ -507,7 +520,7 @@ s AS (SELECT *, least(CASE WHEN t <= 5 THEN i ELSE (i * 5 + 4) // t END, 4)::INT
 SELECT folder, stratum, arg_min(doc_id, (md5('42|' || doc_id), doc_id)) AS doc_id FROM s GROUP BY ALL""",
     "s_adaptive_n": f"WITH {CUR} SELECT doc_id, count(*) AS n, CASE WHEN count(*) < 5 THEN 0 ELSE least(count(*), 5) END::BIGINT AS quota FROM cur WHERE is_leaf GROUP BY 1",
     "x_deep_split": LN_DEEP,
-    "x_headings": f"SELECT scrape_id, trim({_headings('judul')}) AS title FROM registry WHERE judul IS NOT NULL",
+    "x_headings": f"SELECT load_id, md5({_headings('text')}) AS text_md5 FROM nodes WHERE text IS NOT NULL",
     "d_document_checks": f"""WITH {CUR}, r AS (SELECT granularity, doc_id, ord_path, node_id, nullif(regexp_extract(node_id, '^pasal_([0-9]+)', 1), '')::INT AS n, is_leaf, text FROM cur),
 m AS (SELECT *, n < lag(n) OVER (PARTITION BY granularity, doc_id ORDER BY ord_path, node_id) AS falls FROM r),
 g AS (SELECT granularity, doc_id, count(DISTINCT n) AS n_articles, greatest(coalesce(max(n) - min(n) + 1 - count(DISTINCT n), 0), 0)::BIGINT AS n_missing, count(*) FILTER (WHERE is_leaf AND coalesce(trim(text), '') = '') AS n_empty, count(*) FILTER (WHERE falls) AS falls FROM m GROUP BY ALL)

@@ -15,7 +15,7 @@ from legistra.operators.summaries import unique_runs
 from legistra.plans import search as se
 from legistra.plans.analysis import GA, GD, REG, U, _error_case
 from legistra.plans.corpus import DOC, NODE
-from legistra.plans.search import CATALOG, CUR, GOLD, LEAF, PER_QUERY, SIB
+from legistra.plans.search import CATALOG, CUR, LEAF, PER_QUERY, SIB, A, _list
 from legistra.sources.tables import table
 
 
@@ -287,6 +287,9 @@ rec AS (SELECT mq.query_id, hit, recall, precision, f1, ndcg, map, mrr, first_ra
 DESC = f"{REC}, {ITEMS}, de AS (SELECT rec.*, reference_mode, query_style, it.doc_id AS gold_doc, query_type FROM rec JOIN it ON it.query_id = rec.query_id)"
 SUMMED = "count(*) AS n, " + ", ".join(f"round(coalesce(avg({m}::DOUBLE), 0), 4) AS {m}" for m in ev.SUMMED) + ", round(coalesce(avg(within_doc_recall) FILTER (WHERE doc_pick_hit > 0), 0), 4)::DOUBLE AS oracle_within_doc_recall, count(first_rank) AS hits_anywhere"
 
+# the ranked list by node ids alone
+ZN = f"""{_list("y", "bm25_score")}, a AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY plc) AS rank FROM (SELECT query_id, string_split(item, '/')[-1] AS item, min(rank) AS plc FROM y GROUP BY ALL))"""
+
 ORACLES = {
     "v_chunk_texts": f"""WITH {CUR}, {LEAF} SELECT load_id, md5(text || CASE WHEN penjelasan <> '' AND penjelasan <> 'Cukup jelas.' THEN chr(10) || chr(10) || 'Penjelasan Resmi:' || chr(10) || penjelasan ELSE '' END) AS chunk_md5 FROM leaf""",
     "v_slim_catalog": f"WITH {CUR}, {CATALOG} SELECT reg.doc_id, judul, bentuk_singkat, nullif(substr(coalesce(s, ''), 1, 600), '') AS summary FROM reg LEFT JOIN sums ON sums.doc_id = reg.doc_id",
@@ -332,6 +335,7 @@ SELECT system, field, count(*) AS n_values, CASE WHEN count(*) > 1 THEN 'differs
 o AS (SELECT 'combo' AS part, concat_ws('__', system, eval_granularity) AS name, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT 'overall', '', count(*) FROM u UNION ALL SELECT 'failure', cls, count(*) FROM c WHERE cls IS NOT NULL GROUP BY cls)
 SELECT part, name, n, round(n / t::DOUBLE, 6) AS share FROM o, t""",
     "m_records": f"WITH {REC} SELECT * FROM rec",
+    "m_by_node_id": "WITH " + PER_QUERY.replace(A, ZN).replace("'/' || node AS item", "node AS item").replace("doc || node AS item", "node AS item") + " SELECT * FROM mq",
     "m_summary": f"WITH {DESC} SELECT query_type, {SUMMED} FROM de GROUP BY 1",
     "m_by_reference_mode": f"WITH {DESC} SELECT reference_mode, {SUMMED} FROM de WHERE reference_mode IN ('none', 'legal_ref', 'doc_only', 'both') GROUP BY 1",
     "m_slices": f"WITH {DESC} " + " UNION ALL ".join(f"SELECT '{n}' AS slice, coalesce({c}, '') AS value, count(*) AS n, round(avg(hit::DOUBLE), 4) AS hit, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr FROM de GROUP BY ALL" for n, c in (("reference_mode", "reference_mode"), ("query_style", "query_style"), ("gold_doc_id", "gold_doc"), ("query_type", "query_type"))),

@@ -109,7 +109,7 @@ def r_doc_pick3(spark, sf):
 
 def r_within_doc_top10(spark, sf):
     leaf = _leaves(spark, sf, "pasal").withColumn("doc_id", canonical_doc(F.col("doc_id")))
-    scored = rt.bm25_scores(_asked(spark, sf).where("doc_id is not null"), leaf, ["load_id"], "search_text", ["doc_id"])
+    scored = rt.within_document(_asked(spark, sf).where("doc_id is not null"), leaf)
     return rt.top_k(scored, 10, ["load_id"], positive=False).select("query_id", "doc_id", "load_id", "score", "rank")
 
 
@@ -152,12 +152,67 @@ def r_hybrid_rrf(spark, sf):
 
 
 def r_bm25_tree(spark, sf):
-    """Three documents picked per query, their leaves pooled and ranked as a corpus of their own."""
-    picks = r_doc_pick3(spark, sf).select(F.col("query_id").alias("qid"), "doc_id")
-    pool = picks.join(_leaves(spark, sf, "pasal"), "doc_id")
-    asked = _asked(spark, sf).select("query_id", "query", F.col("query_id").alias("qid"))
-    scored = rt.bm25_scores(asked, pool, ["load_id"], "search_text", ["qid"])
-    return rt.top_k(scored, 10, ["load_id"]).select("query_id", "load_id", "score", "rank")
+    """Three documents picked per query, a beam in each, and what it reaches ranked as a corpus of its own.
+
+    The articles of the given tables have no children, so the beam takes them all, as the SQL does.
+    """
+    label = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+    tree = _leaves(spark, sf, "pasal").select("doc_id", "node_id", "parent_id", "ord_path", label.alias("label"), "search_text", "load_id")
+    return rt.bm25_tree(_picked(spark, sf).drop("pick"), tree)
+
+
+def _picked(spark, sf):
+    """query_id, query, doc_id, pick: the three documents picked for a query."""
+    picks = r_doc_pick3(spark, sf).select("query_id", "doc_id", F.col("rank").alias("pick"))
+    return picks.join(_asked(spark, sf).select("query_id", "query"), "query_id")
+
+
+def _tree_candidates(spark, sf):
+    """query_id, load_id, score, rank: the ten best leaves of each picked document, one document after the other."""
+    from pyspark.sql import Window
+
+    picked, leaf = _picked(spark, sf), _leaves(spark, sf, "pasal")
+    within = rt.within_document(picked.drop("pick"), leaf)
+    best = within.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.col("score").desc(), "load_id"))).where("at <= 10")
+    placed = best.join(picked.select("query_id", "doc_id", "pick"), ["query_id", "doc_id"])
+    return placed.select("query_id", "load_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("pick", "at")).alias("rank"))
+
+
+def _tree_reranked(spark, sf):
+    top = _tree_candidates(spark, sf)
+    texts = _leaves(spark, sf, "pasal").select("load_id", "search_text")
+    both = top.join(texts, "load_id").join(_asked(spark, sf).select("query_id", "query"), "query_id")
+    return top, rt.overlap_ranking(both, "load_id", "query", "search_text")
+
+
+def r_hybrid_tree(spark, sf):
+    """The candidates of the picked documents in the order of the stand-in model, ten a query."""
+    top, model = _tree_reranked(spark, sf)
+    return rt.validated(model, top.select("query_id", "load_id", "rank"), "load_id").where("rank <= 10")
+
+
+def r_hybrid_tree_rrf(spark, sf):
+    """The same candidates by their scores in their own documents, fused with the model's order."""
+    from pyspark.sql import Window
+
+    top, model = _tree_reranked(spark, sf)
+    across = top.select("query_id", "load_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank")).alias("rank"))
+    return rt.reciprocal_rank_fusion(across, model.select("query_id", "load_id", F.col("pos").alias("rank")), "load_id").where("rank <= 10")
+
+
+def r_dense_reranked(spark, sf):
+    """The fifty nearest vectors of a query, put in the order of a stand-in model: those of its own label first, then by cosine."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = rt.cosine_top_k(q, e.select("vec_id", F.col("embedding").alias("v")), 50)
+    labels = e.select("vec_id", "label")
+    told = near.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    score = (F.col("label") == F.col("own")).cast("double")
+    w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank")
+    ranked = told.withColumn("rerank_score", score).withColumn("final", F.row_number().over(w))
+    return ranked.where("final <= 10").select("query_id", "vec_id", F.col("cosine").alias("cosine_score"), "rerank_score", F.col("final").alias("rank"))
 
 
 def _model_ranking(spark, sf):
@@ -239,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         r_token_stats, r_term_idf, r_bm25_flat_top10, r_bm25_candidates20, r_catalog, r_doc_pick3, r_within_doc_top10, r_beam_tree, r_rrf, r_borda,
-        r_interleave10, r_hybrid_flat, r_hybrid_rrf, r_bm25_tree, r_final_ten, r_validated, r_hallucinations, r_tournament, r_cosine_top10, r_vector_label_recall, m_per_query, m_by_type, m_sibling,
+        r_interleave10, r_hybrid_flat, r_hybrid_rrf, r_bm25_tree, r_hybrid_tree, r_hybrid_tree_rrf, r_dense_reranked, r_final_ten, r_validated, r_hallucinations, r_tournament, r_cosine_top10, r_vector_label_recall, m_per_query, m_by_type, m_sibling,
         m_sibling_failures, m_rank_distribution, m_docpick,
     )
 }
@@ -336,6 +391,13 @@ RERANKED = f"""{CUR}, {LEAF}, {ASKED}, pl AS (SELECT * FROM leaf WHERE granulari
 b AS (SELECT a.query_id, a.load_id, row_number() OVER (PARTITION BY a.query_id ORDER BY len(list_intersect(list_distinct({_tok("query")}), list_distinct({_tok("search_text")}))) DESC, a.load_id)::INT AS pos
   FROM a JOIN pl ON pl.load_id = a.load_id JOIN asked ON asked.query_id = a.query_id)"""
 
+TREE = f"""{CUR}, {LEAF}, pk AS (WITH {CATALOG}, {ASKED}, {_bm25('cat', 'doc_id', 'doc_text')} SELECT query_id, doc_id, rank AS pick FROM ({_top('doc_id', 3, '')}) WHERE score > 0),
+pl AS (SELECT * FROM leaf WHERE granularity = 'pasal'), {ASKED.replace("asked AS", "asked0 AS", 1)}, asked AS (SELECT asked0.query_id, asked0.query, pk.doc_id, pick FROM asked0 JOIN pk ON pk.query_id = asked0.query_id),
+{_bm25('pl', 'load_id', 'search_text', 'doc_id')},
+wd AS (SELECT asked.query_id, asked.query, asked.doc_id, pick, pl.load_id, pl.search_text, coalesce(s.score, 0) AS score FROM asked JOIN pl ON pl.doc_id = asked.doc_id LEFT JOIN scored s ON s.query_id = asked.query_id AND s.doc_id = asked.doc_id AND s.load_id = pl.load_id),
+wr AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, load_id) AS nth FROM wd), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pick, nth) AS rank FROM wr WHERE nth <= 10),
+b AS (SELECT query_id, load_id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(list_distinct({_tok("query")}), list_distinct({_tok("search_text")}))) DESC, load_id)::INT AS pos FROM a)"""
+
 ORACLES = {
     "r_final_ten": f"""WITH {MODEL}, d AS (SELECT query_id, string_split(item, '/')[1] AS doc, min(pos) AS p FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS i FROM d)
 SELECT query_id, count(*)::INT AS n, string_agg(doc, ' ' ORDER BY i) AS docs FROM r WHERE i <= 10 GROUP BY 1""",
@@ -345,13 +407,21 @@ SELECT * FROM (SELECT query_id, load_id, fused, row_number() OVER (PARTITION BY
     "r_bm25_tree": f"""WITH {CUR}, {LEAF}, picks AS (WITH {CATALOG}, {ASKED}, {_bm25('cat', 'doc_id', 'doc_text')} SELECT query_id, doc_id FROM ({_top('doc_id', 3, '')}) WHERE score > 0),
 pool AS (SELECT picks.query_id AS qid, leaf.* FROM picks JOIN leaf ON leaf.doc_id = picks.doc_id WHERE granularity = 'pasal'), {ASKED.replace("asked AS", "asked0 AS", 1)}, asked AS (SELECT *, query_id AS qid FROM asked0),
 {_bm25('pool', 'load_id', 'search_text', 'qid')} {_top('load_id', 10)}""",
+    "r_hybrid_tree": f"WITH {TREE} SELECT query_id, load_id, pos AS rank FROM b WHERE pos <= 10",
+    "r_hybrid_tree_rrf": f"""WITH {TREE}, x AS (SELECT query_id, load_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM a),
+f AS (SELECT x.query_id, x.load_id, x.rank AS place, round(1.0::DOUBLE / (60 + x.rank) + 1.0::DOUBLE / (60 + pos), 6) AS fused FROM x JOIN b ON x.query_id = b.query_id AND x.load_id = b.load_id)
+SELECT * FROM (SELECT query_id, load_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place)::INT AS rank FROM f) WHERE rank <= 10""",
+    "r_dense_reranked": f"""WITH {COSINE.replace("rank <= 10", "rank <= 50")}, s2 AS (SELECT query_id, top.vec_id, cosine AS cosine_score, CASE WHEN e.label = o.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rerank_score, rank AS r FROM top JOIN embeddings e ON e.vec_id = top.vec_id JOIN embeddings o ON o.vec_id = top.query_id)
+SELECT * FROM (SELECT query_id, vec_id, cosine_score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, r)::INT AS rank FROM s2) WHERE rank <= 10""",
     "r_token_stats": f"WITH {CUR}, {LEAF} SELECT granularity, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM (SELECT granularity, unnest({_tok('search_text')}) AS term FROM leaf) GROUP BY 1",
     "r_term_idf": f"WITH {CUR}, {LEAF}, {ASKED}, pl AS (SELECT * FROM leaf WHERE granularity = 'pasal'), {_bm25('pl', 'load_id', 'search_text')} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "r_bm25_flat_top10": f"WITH {CUR}, {LEAF}, {ASKED}, pl AS (SELECT * FROM leaf WHERE granularity = 'pasal'), {_bm25('pl', 'load_id', 'search_text')} {_top('load_id', 10)}",
     "r_bm25_candidates20": f"WITH {CUR}, {LEAF}, {ASKED}, pl AS (SELECT * FROM leaf WHERE granularity = 'rincian'), {_bm25('pl', 'load_id', 'search_text')} {_top('load_id', 20)}",
     "r_catalog": f"WITH {CUR}, {CATALOG} SELECT doc_id, length(doc_text) AS n_chars, md5(doc_text) AS text_md5 FROM cat",
     "r_doc_pick3": f"WITH {CUR}, {CATALOG}, {ASKED}, {_bm25('cat', 'doc_id', 'doc_text')} SELECT * FROM ({_top('doc_id', 3, '')}) WHERE score > 0",
-    "r_within_doc_top10": f"WITH {CUR}, {LEAF}, {ASKED}, pl AS (SELECT * REPLACE ({DOC.format(c='doc_id')} AS doc_id) FROM leaf WHERE granularity = 'pasal'), {_bm25('pl', 'load_id', 'search_text', 'doc_id')} {_top('load_id', 10, '', 'doc_id, ')}",
+    "r_within_doc_top10": f"""WITH {CUR}, {LEAF}, {ASKED}, pl AS (SELECT * REPLACE ({DOC.format(c='doc_id')} AS doc_id) FROM leaf WHERE granularity = 'pasal'), {_bm25('pl', 'load_id', 'search_text', 'doc_id')},
+w AS (SELECT asked.query_id, asked.doc_id, pl.load_id, coalesce(s.score, 0) AS score FROM asked JOIN pl ON pl.doc_id = asked.doc_id LEFT JOIN scored s ON s.query_id = asked.query_id AND s.doc_id = asked.doc_id AND s.load_id = pl.load_id)
+SELECT * FROM (SELECT query_id, doc_id, load_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, load_id)::INT AS rank FROM w) WHERE rank <= 10""",
     "r_rrf": f"""WITH {A}, {B_}, e AS (SELECT query_id, item, rank, rank AS place FROM a UNION ALL SELECT query_id, item, rank, NULL FROM b),
 z AS (SELECT query_id, max(rank) AS n FROM a GROUP BY 1),
 f AS (SELECT query_id, item, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS fused, max(place) AS place FROM e GROUP BY ALL)
