@@ -21,7 +21,7 @@ def run_summary(runs: DataFrame) -> DataFrame:
     zero = {m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in MEASURES}
     aggs = [F.count("*").alias("num_queries"), F.sum(failed(F.col("error")).cast("bigint")).alias("error_count")]
     for m in MEASURES:
-        aggs += [F.round(F.avg(zero[m]), 6).alias(f"avg_{m}"), F.round(F.sum(zero[m]), 4).alias(f"total_{m}")]
+        aggs += [F.round(F.avg(zero[m]), 8).alias(f"avg_{m}"), F.round(F.sum(zero[m]), 4).alias(f"total_{m}")]
         aggs += [F.round(F.percentile(zero[m], F.lit(p / 100)), 6).alias(f"p{p}_{m}") for p in QUANTILES]
     return unique_runs(runs).groupBy("system", "eval_granularity").agg(*aggs)
 

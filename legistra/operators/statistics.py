@@ -101,6 +101,16 @@ def bootstrap_seeded(values: DataFrame, group: str, value: str, resamples: int =
     return values.groupBy(group).applyInPandas(one, f"{group} string, n bigint, mean double, low double, high double")
 
 
+def compared(pairs: DataFrame, key: str) -> DataFrame:
+    """eval_granularity, n, by_t, by_randomization, agree: whether two tests call a difference real at 5 %.
+
+    The t test by the normal's limit, as pairs are many; pairs without spread are never different by it.
+    """
+    t = paired_test(pairs).select("eval_granularity", "n", (F.abs("t") > 1.959964).alias("by_t"))
+    r = randomization_hash(pairs, key).select("eval_granularity", (F.col("p") < 0.05).alias("by_randomization"))
+    return t.join(r, "eval_granularity").withColumn("agree", F.col("by_t") == F.col("by_randomization"))
+
+
 def largest_remainder(groups: DataFrame, key: str, total: str, shares: list[tuple[str, float]]) -> DataFrame:
     """key, part, n: whole numbers that add up to total, floors first, what is left by the largest fraction, then order."""
     parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("part"), F.lit(float(s)).alias("share")) for i, (name, s) in enumerate(shares)])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legistra.operators.corpus_tables import newest
+from legistra.operators.scale import running_counts
 
 # Substrings of error texts, the first class that matches wins; & stands between two that must both be there.
 ERROR_CLASSES = (
@@ -83,9 +84,23 @@ def totals(runs: DataFrame) -> DataFrame:
 
 
 def interpolated_percentiles(runs: DataFrame) -> DataFrame:
-    """p50, p95 and p99 of elapsed_s per system, between neighbours in proportion."""
-    kept = unique_runs(runs).where("elapsed_s >= 0")
-    return kept.groupBy("system").agg(*[F.round(F.percentile("elapsed_s", F.lit(q)), 8).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)])
+    """p50, p95 and p99 of elapsed_s per system, between neighbours in proportion.
+
+    Values are placed by range over all tasks, so a system may hold any share of the runs.
+    """
+    kept = unique_runs(runs).where("elapsed_s >= 0").groupBy("system", "elapsed_s").agg(F.count("*").alias("c"))
+    placed = running_counts(kept, ["system"], [F.col("elapsed_s")], "c", "before")
+    totals = kept.groupBy("system").agg(F.sum("c").alias("n"))
+    same = F.col("p.system").eqNullSafe(F.col("t.system"))
+    both = placed.alias("p").join(F.broadcast(totals).alias("t"), same).select("p.*", "n")  # a row a system
+
+    def value(q: float) -> Column:
+        at = F.lit(q) * (F.col("n") - 1)
+        holds = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("c")), F.col("elapsed_s")))
+        low, high, share = holds(F.floor(at)), holds(F.ceil(at)), F.max(at - F.floor(at))
+        return F.round(low + (high - low) * share, 8).alias(f"p{round(100 * q)}")
+
+    return both.groupBy("system").agg(*[value(q) for q in (0.5, 0.95, 0.99)])
 
 
 def nearest_percentiles(runs: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ def _summed():
     parts = ["count(*) AS num_queries", "count(*) FILTER (WHERE error <> '') AS error_count"]
     for m in ev.MEASURES:
         v = f"coalesce({m}::DOUBLE, 0)"
-        parts += [f"round(avg({v}), 6) AS avg_{m}", f"round(sum({v}), 4) AS total_{m}"]
+        parts += [f"round(avg({v}), 8) AS avg_{m}", f"round(sum({v}), 4) AS total_{m}"]
         parts += [f"round(quantile_cont({v}, {p / 100}::DOUBLE), 6) AS p{p}_{m}" for p in ev.QUANTILES]
     return ", ".join(parts)
 

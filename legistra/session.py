@@ -31,14 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
     It is what spark.checkpoint.dir names. Where that is unset, it is a temporary folder of this machine if the
-    master is local, as in tests, and a folder beside the warehouse's tables otherwise.
+    master is local, as in tests; on a cluster that is an error, as no other folder is known to be shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        else:
-            named = "file://" + os.path.join(tempfile.gettempdir(), f"legistra-checkpoints-{os.getpid()}")
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + os.path.join(tempfile.gettempdir(), f"legistra-checkpoints-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
