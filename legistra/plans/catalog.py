@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legistra.plans import analysis, connectors, corpus, reading, search
+from legistra.plans import analysis, connectors, corpus, reading, records, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (corpus, search, analysis, reading, connectors)
+GROUPS = (corpus, search, analysis, reading, connectors, records)
 
 
 def queries() -> dict[str, Query]:
