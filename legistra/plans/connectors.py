@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from legistra.plans import search as se
 from legistra.plans.analysis import GD, PAIRS, QUAL, REG, U
 from legistra.plans.reading import REC
 from legistra.plans.search import CUR, LEAF
-from legistra.session import shared_dir
+from legistra.session import table_path
 from legistra.sources import formats as fm
 from legistra.sources import sinks as sk
 from legistra.sources.tables import table
@@ -105,7 +103,7 @@ def c_markdown_verdicts(spark, sf):
 
 def c_partitioned_run(spark, sf):
     """Runs written one folder a system and granularity, and read back."""
-    path = f"{shared_dir(spark).rstrip('/')}/tables/runs-{uuid.uuid4().hex}"
+    path = table_path(spark, "runs")
     sk.write_run(unique_runs(table(spark, sf, "query_runs")).where("system is not null and eval_granularity is not null").select("run_id", "system", "eval_granularity"), path)
     return sk.read_run(spark, path).groupBy("system", "eval_granularity").agg(F.count("*").alias("n"), F.sum("run_id").alias("ids"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from legistra.plans import search as se
 from legistra.plans.analysis import U
 from legistra.plans.reading import ITEMS
 from legistra.plans.search import CUR, MODEL, A
-from legistra.session import shared_dir
+from legistra.session import table_path
 from legistra.sources.tables import table
 
 
@@ -89,7 +87,7 @@ def t_restored(spark, sf):
 
 def c_vector_table(spark, sf):
     """Vectors with their label as payload, written anew as a table, and read back."""
-    path = f"{shared_dir(spark).rstrip('/')}/tables/vectors-{uuid.uuid4().hex}"
+    path = table_path(spark, "vectors")
     table(spark, sf, "embeddings").where("vec_id is not null").select("vec_id", "embedding", "label").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("embedding").cast("bigint")).alias("n_values"))
 

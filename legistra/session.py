@@ -21,6 +21,7 @@ def build_session(app: str = "legistra", cpus: int | str = "*", shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LEGISTRA_DRIVER_MEMORY", "12g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -71,8 +72,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new place for a table of this application under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def persist_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet under the shared folder, and read back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what this application keeps under the shared folder; results that were not written are lost with it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark.sparkContext._jsc.sc().hadoopConfiguration()).delete(place, True)

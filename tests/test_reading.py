@@ -109,3 +109,16 @@ def test_interpolated_percentiles(spark):
 def test_every_query_runs_on_the_smallest_tables(spark, sf):
     for name, query in reading.QUERIES.items():
         assert query(spark, sf).count() >= 0, name
+
+
+def test_kept_tables_are_dropped_on_demand(spark):
+    import glob
+
+    from legistra.session import drop_tables, persist_table, shared_dir
+
+    kept = persist_table(spark.range(3).toDF("id"), "three")
+    assert kept.count() == 3
+    mine = shared_dir(spark).removeprefix("file://") + f"/tables/{spark.sparkContext.applicationId}"
+    assert glob.glob(mine + "/three-*")
+    drop_tables(spark)
+    assert not glob.glob(mine)
