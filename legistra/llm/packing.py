@@ -36,11 +36,16 @@ BLOCK = 4096  # pieces packed together
 
 def encoder(path: str):
     """The tokenizer in a rank file."""
+    with open(path, "rb") as f:
+        return encoder_of(f.read(), os.path.basename(path))
+
+
+def encoder_of(ranks: bytes, name: str):
+    """The tokenizer of a rank file's contents."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pairs = (line.split() for line in ranks.splitlines() if line)
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
 def hilbert_key(point: list[int], bits: int = BITS) -> int:
@@ -101,10 +106,16 @@ class Projector:
 
 
 def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, tokens, place: the size of each text, and its place on the curve."""
+    """doc_id, tokens, place: the size of each text, and its place on the curve.
+
+    The tokenizer's file is read by the driver and sent to the workers, a few megabytes whatever the data.
+    """
+    with open(tokenizer, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())
+    name = os.path.basename(tokenizer)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, projector = encoder(tokenizer).encode_ordinary, Projector()
+        encode, projector = encoder_of(ranks.value, name).encode_ordinary, Projector()
         for pdf in frames:
             texts = pdf["text"].tolist()
             yield pd.DataFrame(
