@@ -225,10 +225,9 @@ class ItemIndex:
         starts = []
         for words in texts:
             starts.append(len(every))
-            every.extend(map(get, words))
+            every += [get(w, none) for w in words]
             # no passage reaches from one text into the next
-            every.extend([None] * (-len(every) % CHUNK + (CHUNKS - 1) * CHUNK))
-        every = [none if x is None else x for x in every]
+            every += [none] * (-len(every) % CHUNK + (CHUNKS - 1) * CHUNK)
         last, item = self.retrieve(np.array(every, np.int64))
         owner = np.searchsorted(np.array(starts), last * CHUNK, side="right") - 1
         hits: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
@@ -394,10 +393,13 @@ def holds_run(around: Around, doc: list[int], item: list[int], seeds: list[tuple
         for n1, e1, h1, m1 in left:
             if n1 + longest < RUN or PART * e1 >= n1 + longest:
                 continue
+            met = h1 if h1 > own else own
             for n2, e2, h2, m2 in right:
                 n = n1 + SEED + n2
-                if n >= RUN and PART * (e1 + e2) < n and max(h1, own, h2) >= max(m1, m2):
-                    return True
+                if n >= RUN and PART * (e1 + e2) < n:
+                    missed = m1 if m1 > m2 else m2
+                    if met >= missed or h2 >= missed:
+                        return True
         return False
 
     there = [(x := spelled[y]) in around.words or x in around.joined for y in item]
