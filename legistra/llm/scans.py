@@ -19,7 +19,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
@@ -306,18 +306,59 @@ def fit_syllables(names: list[str], rounds: int = 8, explained: float = 0.8) ->
     Empty if the parts don't make up the share `explained` of the names, as then these aren't made of parts.
     """
     starts = Counter(w[:k] for w in names for k in range(2, 7) if len(w) >= k)
-    model = {s: math.log(n) + 0.8 * len(s) for s, n in starts.items() if n >= max(3, len(names) * 0.002)}
+    return _fit_parts(len(names), starts, lambda cost: _used_parts(names, cost), rounds, explained)
+
+
+def fit_name_table(names: DataFrame, rounds: int = 8, explained: float = 0.8) -> dict[str, float]:
+    """fit_syllables of a table's value, one name a row. Only parts of a share of all names come to the driver."""
+    total = names.count()
+    if not total:
+        return {}
+    names = cut(names.select("value").repartition(total // 10_000 + 1))
+    starts = names.select(F.explode(F.expr("transform(filter(sequence(2, 6), k -> length(value) >= k), k -> substring(value, 1, k))")).alias("part"))
+    starts = starts.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= _least_starts(total))
+
+    def used(cost: dict[str, float]) -> tuple[Counter, int]:
+        def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                count, made = _used_parts(pdf["value"], cost)
+                yield pd.DataFrame([*count.items(), (None, made)], columns=["part", "n"])
+
+        got = Counter({r.part: r.n for r in names.mapInPandas(tally, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n")).collect()})
+        return got, got.pop(None, 0)
+
+    return _fit_parts(total, {r.part: r.n for r in starts.collect()}, used, rounds, explained)
+
+
+def _least_starts(names: int) -> float:
+    """How many of the names must begin with a part."""
+    return max(3, names * 0.002)
+
+
+def _used_parts(names: Iterable[str], cost: dict[str, float]) -> tuple[Counter, int]:
+    """How often every part is used in putting the names together, and how many are made of parts alone."""
+    used: Counter = Counter()
+    made = 0
+    for w in names:
+        parts = _best_parts(w, cost)
+        known = [p for p in parts if p in cost]
+        used.update(known)
+        made += len(known) == len(parts)
+    return used, made
+
+
+def _fit_parts(names: int, starts: dict[str, int], used: Callable[[dict[str, float]], tuple[Counter, int]], rounds: int, explained: float) -> dict[str, float]:
+    model = {s: math.log(n) + 0.8 * len(s) for s, n in starts.items() if n >= _least_starts(names)}
     for _ in range(rounds):
-        used: Counter = Counter()
         cost = {s: -v for s, v in model.items()} if min(model.values(), default=0) >= 0 else model
-        for w in names:
-            used.update(p for p in _best_parts(w, cost) or () if p in model)
-        total = sum(used.values())
-        model = {s: -math.log(n / total) for s, n in used.items() if n >= max(3, total * 0.001)}
+        count, _ = used(cost)
+        total = sum(count.values())
+        before, model = model, {s: -math.log(n / total) for s, n in count.items() if n >= max(3, total * 0.001)}
         if not model:
             return {}
-    made = sum(all(p in model for p in _best_parts(w, model)) for w in names)
-    return model if made >= explained * len(names) else {}
+        if model == before:
+            break  # nothing changes any more
+    return model if used(model)[1] >= explained * names else {}
 
 
 def _best_parts(w: str, cost: dict[str, float]) -> list[str] | None:
@@ -431,13 +472,13 @@ def is_damage(w: str, n: int, known: Learned) -> bool:
     return (c is not None and known.words[c] >= 20 * n) or _near_known(w, known, 20 * n)
 
 
-def learn(rows: DataFrame, name_sample: int = 20_000) -> tuple[Learned, DataFrame, DataFrame]:
+def learn(rows: DataFrame) -> tuple[Learned, DataFrame, DataFrame]:
     """The corpus's page offsets, header forms, vocabulary and name parts; rows with own_shifts, own_forms and
     own_heads, which hold for the row's document; and value, n, established of all words and shapes.
 
     rows: long_form. Counts cover all rows. What comes to the driver is bounded: offsets and forms of at least one
-    in 500 page numbers, words and shapes of at least one in 20,000 tokens, and at most name_sample names for
-    the model of name parts. Offsets, forms, words and shapes under that bar stay in tables.
+    in 500 page numbers, words and shapes of at least one in 20,000 tokens, and parts of at least one in 1,000 of the
+    parts that all names use. Offsets, forms, words, shapes and names under that bar stay in tables.
     """
     got = Learned()
     got.offsets, own_shifts, pages = _own_offsets(rows)
@@ -468,9 +509,8 @@ def learn(rows: DataFrame, name_sample: int = 20_000) -> tuple[Learned, DataFram
             got.words[r.value] = r.n
         else:
             got.shapes.add(r.value)
-    rare = counts.where((F.col("kind") == "name") & (F.col("n") < enough)).orderBy(F.xxhash64("value"), "value").limit(name_sample)
-    names = [r.value for r in rare.collect() if r.value.isascii()]
-    got.syllables = fit_syllables(names)
+    rare = counts.where((F.col("kind") == "name") & (F.col("n") < enough) & F.col("value").rlike("^[\\x00-\\x7f]+$"))
+    got.syllables = fit_name_table(rare)
     got.__post_init__()
     kept = counts.where((F.col("n") < enough) & F.col("kind").isin("word", "shape")).select("value", "n")
     kept = kept.join(_established(counts, got, enough).withColumn("established", F.lit(True)), "value", "left")
@@ -822,11 +862,11 @@ def _append(paragraphs: list[list[str]], line: str, carried: str, known: Learned
 # ---------------------------------------------------------------- tables
 
 
-def scan_findings(nodes: DataFrame, name_sample: int = 20_000) -> DataFrame:
+def scan_findings(nodes: DataFrame) -> DataFrame:
     """load_id, field_name, line_no, kind: lines that are page furniture (`running`), end inside a word (`cut`), or
     hold a damaged word or number (`misread`)."""
     rows = long_form(nodes)
-    learned, rows, kept = learn(rows, name_sample)
+    learned, rows, kept = learn(rows)
     state = nodes.sparkSession.sparkContext.broadcast(learned)
     rows = with_lookups(rows, kept, state)
 
@@ -842,10 +882,10 @@ def scan_findings(nodes: DataFrame, name_sample: int = 20_000) -> DataFrame:
     return rows.mapInPandas(scan, "load_id bigint, field_name string, line_no bigint, kind string").distinct()
 
 
-def repaired_paragraphs(nodes: DataFrame, name_sample: int = 20_000) -> DataFrame:
+def repaired_paragraphs(nodes: DataFrame) -> DataFrame:
     """load_id, field_name, paragraph_no, paragraph: the texts without furniture, cut and misread words."""
     rows = long_form(nodes)
-    learned, rows, kept = learn(rows, name_sample)
+    learned, rows, kept = learn(rows)
     state = nodes.sparkSession.sparkContext.broadcast(learned)
     rows = with_lookups(rows, kept, state)
 

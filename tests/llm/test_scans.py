@@ -122,3 +122,15 @@ def test_repeated_load_ids_with_other_texts(spark):
     rows = [(900, "Pemilik gudang\n- 3 -\nwajib menyusun", None, 3, "c", 0), (900, "Pemilik gudang\n- 3 -\nwajib menyusun", None, 3, "c", 0), (900, "gudang wajib\nPemilik\n- 4 -", None, 4, "d", 0)]
     got = sorted((r.line_no, r.kind) for r in scans.scan_findings(corpus(spark, rows)).where("load_id = 900").collect())
     assert got == [(2, "running"), (3, "running")]
+
+
+def test_name_parts_of_all_names(spark):
+    """The model of name parts is that of every name, also of more than 20,000."""
+    import random
+
+    rng, parts = random.Random(5), "rel mur tok fo hem be qua nda sul yo pas mo lin gre zi tam".split()
+    names = sorted({"".join(rng.choice(parts) for _ in range(4)) for _ in range(30_000)})
+    assert len(names) > 20_000
+    rows = [(i, " ".join(w.capitalize() for w in names[i::50]) + " Zürich", None, None, None, 0) for i in range(50)]
+    learned, *_ = scans.learn(scans.long_form(spark.createDataFrame(rows, NODES)))
+    assert learned.syllables == scans.fit_syllables(names) != {}
