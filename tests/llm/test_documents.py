@@ -155,6 +155,44 @@ def test_language_cases(spark, sf):
     assert lg.language_segments(docs, samples.limit(0)).count() >= 0
 
 
+def many_texts(spark, sf):
+    """More labelled texts than 10,000 and more documents than 3,000, some with words of their own."""
+    some = [(r.lang, r.text) for r in spark.read.parquet(f"{sf}/lang_samples.parquet").collect()]
+    samples = some + [("nl", f"havenmeester kade{'abcdefgh'[i % 8] * 2}") for i in range(10_500)]
+    texts = [f"{some[i % len(some)][1]} mof{'aeiou'[i % 5]}{'bcdfg'[i // 5 % 5]}{'klmnp'[i // 25 % 5]}. Di XI civil Relmur{i}" for i in range(4000)]
+    return samples, texts
+
+
+def test_model_of_all_texts(spark, sf):
+    """The model is that of all labelled texts and of all clear sentences of the corpus."""
+    samples, texts = many_texts(spark, sf)
+    got = lg.fit(spark.createDataFrame(samples, "lang string, text string"), frame(spark, [*texts, None]))
+    base = {lang: Counter() for lang in lg.LANGUAGES}
+    for lang, text in samples:
+        base[lang].update(lg.words(text))
+    first, both, begun = lg.Model.counted(base), {k: Counter(c) for k, c in base.items()}, Counter(lg.LANGUAGES)
+    for text in texts:
+        for s in lg.sentences(text):
+            cost, n = first.costs(s)
+            if n >= 4 and sorted(cost)[1] - min(cost) >= 3 * lg.UNIT:
+                lang = lg.LANGUAGES[cost.index(min(cost))]
+                begun[lang] += 1
+                both[lang].update(w for w in lg._WORD.findall(s) if w.islower())
+    seen, known = sum(both.values(), Counter()), set().union(*base.values())
+    prior = [round(-lg.math.log(begun[k] / begun.total()) * lg.UNIT) for k in lg.LANGUAGES]
+    want = lg.Model.counted({k: Counter({w: n for w, n in c.items() if seen[w] >= 3 or w in known}) for k, c in both.items()}, prior)
+    assert (got.known, got.grams, got.prior) == (want.known, want.grams, want.prior)
+
+
+def test_models_too_large_to_send(spark, sf):
+    samples, texts = many_texts(spark, sf)
+    samples, docs = spark.createDataFrame(samples[:300], "lang string, text string"), frame(spark, [*texts[:300], texts[0], "", None, "中文 zqqx kjwv wwkk", "IV. 12"])
+    want = sorted(map(tuple, lg.language_segments(docs, samples).collect()))
+    small = lg.fit(samples, docs, held=60)
+    assert small.rest is not None and 0 < len(small.known) <= 60
+    assert sorted(map(tuple, lg.language_segments(docs, samples, held=60).collect())) == want
+
+
 def test_held_out_accuracy(spark, sf):
     rows = spark.read.parquet(f"{sf}/lang_samples.parquet").collect()
     counts = {lang: Counter() for lang in lg.LANGUAGES}
