@@ -22,6 +22,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache, cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,10 @@ _BROKEN = re.compile(r"[-‐‑¬]+\s*(?=[^\W_])")
 _STRAY = re.compile(r"[|~·^`´'’.*_=«»]+(?=[^\W\d_A-Z])")
 _TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>|&[a-zA-Z][a-zA-Z0-9]*;|&#[xX]?[0-9a-fA-F]+;")
 _WORD = re.compile(r"[^\W_]+")
-_ASCII_WORD = re.compile(r"[a-z0-9]+")
+# ASCII texts go by tables: what is no letter or digit becomes a blank; of what kind a character is (. stray mark, a small letter, 0 capital or digit)
+_BROKEN_ASCII = re.compile(r"-(?<=[A-Za-z0-9]-)-*\s*(?=[A-Za-z0-9])")
+_PLAIN = bytes(ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
+_KIND = bytes(46 if chr(c) in "|~^`'.*_=" else 97 if "a" <= chr(c) <= "z" else 48 if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
 
 
 def _after_letter(m: re.Match[str]) -> str:
@@ -62,11 +66,16 @@ def words_of(text: str | None) -> list[str]:
         s = _HIDDEN.sub("", unicodedata.normalize("NFKD", _HIDDEN.sub("", s)))
     if "<" in s or "&" in s:
         s = _TAG.sub(" ", s)
-    if "-" in s or not plain:
-        s = _BROKEN.sub(_after_letter, s)
-    s = _STRAY.sub(_after_letter, s)
-    s = s.lower()
-    return _ASCII_WORD.findall(s) if plain else _WORD.findall(s.translate(_LOOK))
+    if plain:
+        # the same rules; only marks within a word matter, as all others part words like blanks
+        if "-" in s:
+            s = _BROKEN_ASCII.sub("", s)
+        raw = s.encode()
+        if b".a" in raw.translate(_KIND):
+            raw = _STRAY.sub(_after_letter, s).encode()
+        return raw.translate(_PLAIN).decode().split()
+    s = _STRAY.sub(_after_letter, _BROKEN.sub(_after_letter, s))
+    return _WORD.findall(s.lower().translate(_LOOK))
 
 
 def _worst_errors(n: int) -> int:
@@ -82,12 +91,8 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 DENSE = 1 << 20  # sums over so many keys are added up in place, others by sorting
 
 
-def _summed(keys: np.ndarray, values: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, all below `upto`, and the sum of the values of each. Values are above 0."""
-    if upto <= DENSE:
-        sums = np.bincount(keys, values, upto)
-        found = np.flatnonzero(sums)
-        return found, sums[found]
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of the values of each."""
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -105,7 +110,8 @@ class ItemIndex:
             for x in w:
                 self.word.setdefault(x, len(self.word))
         self.spelled = list(self.word)
-        self.made: dict[int, dict[str, list[tuple[int, int]]]] = {}  # of items that were met
+        self.begins = {x[:k] for x in self.word for k in range(1, len(x))}
+        self.made: dict[int, tuple[list[str], dict[str, list[tuple[int, int]]]]] = {}  # of items that were met
         self.width = len(self.word) + 1  # the last number is for words of no item
         coded = [(i, np.array([self.word[x] for x in w], np.int64)) for i, w in texts]
         grams = [self._codes(c, GRAM) for _, c in coded]
@@ -138,17 +144,20 @@ class ItemIndex:
         term, owner, impact = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in (terms, owners, impacts))
         by_term = np.lexsort((owner, term))
         self.post_item, self.post_impact = owner[by_term], impact[by_term]
-        self.post_at = np.searchsorted(term[by_term], np.arange(v + 1))
         self.n_blocks, self.block_items = -(-n // block_items), block_items
         blocks = term * max(self.n_blocks, 1) + owner // block_items
         order_b = np.lexsort((-impact, blocks))
         first = np.flatnonzero(np.diff(blocks[order_b], prepend=-1))
         pair, self.block_impact = blocks[order_b][first], impact[order_b][first]
+        self.pair_at = np.append(np.searchsorted(blocks[by_term], pair), len(blocks))  # where the postings of a term in a block begin
         self.block_no = pair % max(self.n_blocks, 1)
         self.block_at = np.searchsorted(pair // max(self.n_blocks, 1), np.arange(v + 1))
-        self.block_threshold = np.array([self.threshold[k : k + block_items].min() for k in range(0, n, block_items)], np.float32)
+        self.by_block = np.append(self.threshold, np.full(-n % block_items, np.inf, np.float32)).reshape(-1, block_items)
+        self.block_threshold = self.by_block.min(axis=1, initial=np.inf)
         self.bound = np.maximum.reduceat(self.block_impact, self.block_at[:-1]) if v else np.zeros(0, np.float32)
         self.least = float(self.threshold.min()) if n else math.inf
+        self.flat = np.concatenate(self.words) if n else np.zeros(0, np.int64)
+        self.flat_at = np.cumsum([0, *map(len, self.words)])
         places = [np.arange(len(w) - SEED + 1) for w in self.words]
         seeds = np.concatenate([self._codes(w, SEED) for w in self.words]) if n else np.zeros(0, np.int64)
         by_seed = np.argsort(seeds, kind="stable")
@@ -156,14 +165,14 @@ class ItemIndex:
         self.seed_item = np.repeat(np.arange(n), [len(x) for x in places])[by_seed]
         self.seed_place = (np.concatenate(places) if n else np.zeros(0, np.int64))[by_seed]
 
-    def runs(self, j: int) -> dict[str, list[tuple[int, int]]]:
-        """What two or three neighbouring words of an item make together, with place and number."""
+    def runs(self, j: int) -> tuple[list[str], dict[str, list[tuple[int, int]]]]:
+        """The words of an item, and what two or three neighbouring ones make together, with place and number."""
         if (made := self.made.get(j)) is None:
-            made = self.made[j] = defaultdict(list)
-            text = [self.spelled[x] for x in self.words[j].tolist()]
+            text, made_of = [self.spelled[x] for x in self.words[j].tolist()], defaultdict(list)
             for b in (2, 3):
                 for k in range(len(text) - b + 1):
-                    made["".join(text[k : k + b])].append((k, b))
+                    made_of["".join(text[k : k + b])].append((k, b))
+            made = self.made[j] = text, made_of
         return made
 
     def _codes(self, ids: np.ndarray, size: int) -> np.ndarray:
@@ -173,35 +182,37 @@ class ItemIndex:
             out = out * self.width + ids[k : len(out) + k]
         return out
 
+    def _known(self, ids: np.ndarray, size: int) -> np.ndarray:
+        """The places where `size` words in a row are all words of items."""
+        known = ids != self.width - 1
+        every = known[: max(0, len(ids) - size + 1)].copy()
+        for k in range(1, size):
+            every &= known[k : len(every) + k]
+        return np.flatnonzero(every)
+
     def retrieve(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The (last chunk, item) of every passage above the item's threshold. ids: words by their numbers."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(ids) < GRAM or not self.ids:
             return none
-        codes = self._codes(ids, GRAM)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        place = np.flatnonzero(self.codes[at] == codes)
+        codes, place = self._codes(ids, GRAM), self._known(ids, GRAM)
+        at = np.minimum(np.searchsorted(self.codes, codes[place]), len(self.codes) - 1)
+        same = self.codes[at] == codes[place]
+        place = place[same]
         if not len(place):
             return none
-        term, chunk = at[place], place // CHUNK
+        term, chunk = at[same], place // CHUNK
         n_chunks = len(ids) // CHUNK + 1
 
-        def scored(term: np.ndarray, chunk: np.ndarray, starts: np.ndarray, owner: np.ndarray, impact: np.ndarray, wanted=None):
-            """The passages by the chunk they end with, what owns the postings they meet, and their scores."""
-            counts = starts[term + 1] - starts[term]
-            hit = _runs(starts[term], counts)
-            who, ends, value = owner[hit], np.repeat(chunk, counts), impact[hit]
-            if wanted is not None:
-                keep = wanted[who]
-                who, ends, value = who[keep], ends[keep], value[keep]
-            wide = int(owner.max()) + 1
-            keys = np.concatenate([(ends + k) * wide + who for k in range(CHUNKS)])
-            keys, sums = _summed(keys, np.tile(value, CHUNKS), (n_chunks + CHUNKS) * wide)
-            return keys // wide, keys % wide, sums
+        def over_chunks(sums: np.ndarray) -> np.ndarray:
+            """Of every passage, from what its chunks have."""
+            total = sums.copy()
+            for k in range(1, CHUNKS):
+                total[k:] += sums[:-k]
+            return total
 
         # by the best of all blocks first
-        ends, sums = _summed(np.concatenate([chunk + k for k in range(CHUNKS)]), np.tile(self.bound[term], CHUNKS), n_chunks + CHUNKS)
-        ends = ends[(sums >= self.least) & (ends < n_chunks)]
+        ends = np.flatnonzero(over_chunks(np.bincount(chunk, self.bound[term], n_chunks + CHUNKS))[:n_chunks] >= self.least)
         alive = np.zeros(n_chunks + CHUNKS, bool)
         for k in range(CHUNKS):
             alive[np.maximum(ends - k, 0)] = True
@@ -209,14 +220,68 @@ class ItemIndex:
         term, chunk = term[keep], chunk[keep]
         if not len(term):
             return none
-        _, block, sums = scored(term, chunk, self.block_at, self.block_no, self.block_impact)
-        live = np.zeros(self.n_blocks, bool)
-        live[block[sums >= self.block_threshold[block]]] = True
-        if not live.any():
+        counts = self.block_at[term + 1] - self.block_at[term]
+        pair, chunk = _runs(self.block_at[term], counts), np.repeat(chunk, counts)
+        block, value = self.block_no[pair], self.block_impact[pair]
+        wide, high = self.n_blocks, n_chunks + CHUNKS
+        dense = high * wide <= DENSE
+        if dense:
+            live = np.flatnonzero(over_chunks(np.bincount(chunk * wide + block, value, high * wide).reshape(high, wide)) >= self.block_threshold)
+        else:
+            keys, sums = _summed(np.concatenate([(chunk + k) * wide + block for k in range(CHUNKS)]), np.tile(value, CHUNKS))
+            live = keys[sums >= self.block_threshold[keys % wide]]
+        live = live[live < n_chunks * wide]
+        if not len(live):
             return none
-        last, item, sums = scored(term, chunk, self.post_at, self.post_item, self.post_impact, live[np.arange(len(self.ids)) // self.block_items])
-        good = (sums >= self.threshold[item]) & (last < n_chunks)
-        return last[good], item[good]
+        # the items' scores, only of the passages and blocks that are left
+        number = np.full(high * wide, -1) if dense else None
+        if dense:
+            number[live] = np.arange(len(live))
+        pairs, slots = [], []
+        for k in range(CHUNKS):
+            key = (chunk + k) * wide + block
+            if dense:
+                slot = number[key]
+                kept = slot >= 0
+            else:
+                slot = np.minimum(np.searchsorted(live, key), len(live) - 1)
+                kept = live[slot] == key
+            pairs.append(pair[kept])
+            slots.append(slot[kept])
+        pair, slot = np.concatenate(pairs), np.concatenate(slots)
+        counts = self.pair_at[pair + 1] - self.pair_at[pair]
+        hit = _runs(self.pair_at[pair], counts)
+        cell = np.repeat(slot, counts) * self.block_items + self.post_item[hit] % self.block_items
+        sums = np.bincount(cell, self.post_impact[hit], len(live) * self.block_items).reshape(-1, self.block_items)
+        slot, nth = np.nonzero(sums >= self.by_block[live % wide])
+        return live[slot] // wide, live[slot] % wide * self.block_items + nth
+
+    def seeds(self, ids: np.ndarray, starts: np.ndarray, last: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The text, item, place and place in the item of every seed that lies in a retrieved passage, by place, some at a time."""
+        n = len(self.ids)
+        pairs = np.unique(np.concatenate([(last - k) * n + item for k in range(CHUNKS)]))
+        near = np.zeros(len(ids) // CHUNK + 1, bool)
+        near[pairs[pairs >= 0] // max(n, 1)] = True
+        place = self._known(ids, SEED)
+        place = place[near[place // CHUNK]]
+        codes = self._codes(ids, SEED)[place]
+        lo, hi = np.searchsorted(self.seed_code, codes, "left"), np.searchsorted(self.seed_code, codes, "right")
+        upto = np.cumsum(hi - lo)
+        begin = 0
+        while begin < len(place):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + DENSE, side="right")))
+            hit = _runs(lo[begin:end], (hi - lo)[begin:end])
+            at, j, p = np.repeat(place[begin:end], (hi - lo)[begin:end]), self.seed_item[hit], self.seed_place[hit]
+            begin = end
+            key = at // CHUNK * n + j
+            good = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key
+            at, j, p = at[good], j[good], p[good]
+            # a seed is the words and not only their number
+            good = np.ones(len(at), bool)
+            for k in range(SEED):
+                good &= ids[at + k] == self.flat[self.flat_at[j] + p + k]
+            at, j, p = at[good], j[good], p[good]
+            yield np.searchsorted(starts, at, side="right") - 1, j, at, p
 
     def leaked(self, texts: list[list[str]]) -> list[list[int]]:
         """For each text, given as words, the ids of the items it holds a part of."""
@@ -225,29 +290,28 @@ class ItemIndex:
         starts = []
         for words in texts:
             starts.append(len(every))
-            every += [get(w, none) for w in words]
+            every.extend(map(get, words, repeat(none)))
             # no passage reaches from one text into the next
-            every += [none] * (-len(every) % CHUNK + (CHUNKS - 1) * CHUNK)
-        last, item = self.retrieve(np.array(every, np.int64))
-        owner = np.searchsorted(np.array(starts), last * CHUNK, side="right") - 1
-        hits: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for o, c, j in zip(owner.tolist(), last.tolist(), item.tolist(), strict=True):
-            hits[o][j].update(range(c - CHUNKS + 1, c + 1))
+            every.extend(repeat(none, -len(every) % CHUNK + (CHUNKS - 1) * CHUNK))
+        ids = np.array(every, np.int64)
         found: list[list[int]] = [[] for _ in texts]
-        for o, items in hits.items():
-            start = starts[o]
-            terms = every[start : start + len(texts[o])]
-            codes = self._codes(np.array(terms, np.int64), SEED)
-            lo, hi = np.searchsorted(self.seed_code, codes, "left"), np.searchsorted(self.seed_code, codes, "right")
-            seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for k in np.flatnonzero(hi > lo).tolist():
-                for q in range(lo[k], hi[k]):
-                    j, p = int(self.seed_item[q]), int(self.seed_place[q])
-                    # a seed lies in a retrieved passage, and is the words and not only their number
-                    if j in items and (start + k) // CHUNK in items[j] and self.words[j][p : p + SEED].tolist() == terms[k : k + SEED]:
-                        seeds[j].append((k, p))
-            around = Around(texts[o])
-            found[o] = [self.ids[j] for j, places in seeds.items() if holds_run(around, terms, self.words[j].tolist(), places, self.word, self.spelled, self.rarity, self.runs(j))]
+        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of one text at a time
+
+        def verify(o: int) -> None:
+            around, terms = Around(texts[o], self.word, self.begins), every[starts[o] : starts[o] + len(texts[o])]
+            found[o] = [self.ids[j] for j, places in seeds.items() if holds_run(around, terms, self.words[j].tolist(), places, self.rarity, *self.runs(j))]
+            seeds.clear()
+
+        current = 0
+        for owner, item, place, at in self.seeds(ids, np.array(starts, np.int64), *self.retrieve(ids)):
+            for o, j, k, p in zip(owner.tolist(), item.tolist(), place.tolist(), at.tolist(), strict=True):
+                if o != current:
+                    if seeds:
+                        verify(current)
+                    current = o
+                seeds[j].append((k - starts[o], p))
+        if seeds:
+            verify(current)
         return found
 
 
@@ -351,10 +415,13 @@ def _errors(way: tuple[int, float, float]) -> int:
 
 
 class Around:
-    """What a document's words are, and what two or three in a row make together; made when first asked for."""
+    """What a document's words are, and which words of items two or three in a row make together; made when first asked for.
 
-    def __init__(self, words: list[str]):
-        self.all = words
+    term: the items' words. begins: what these begin with.
+    """
+
+    def __init__(self, words: list[str], term: dict[str, int], begins: set[str]):
+        self.all, self.term, self.begins = words, term, begins
 
     @cached_property
     def words(self) -> set[str]:
@@ -362,29 +429,49 @@ class Around:
 
     @cached_property
     def joined(self) -> set[str]:
-        w = self.all
-        return {x + y for x, y in zip(w, w[1:], strict=False)} | {x + y + z for x, y, z in zip(w, w[1:], w[2:], strict=False)}
+        w, term, begins, found = self.all, self.term, self.begins, set()
+        for k in [k for k, x in enumerate(w) if x in begins]:
+            two = "".join(w[k : k + 2])
+            if two in term and k + 1 < len(w):
+                found.add(two)
+            if two in begins and k + 2 < len(w) and (three := two + w[k + 2]) in term:
+                found.add(three)
+        return found
+
+    @cached_property
+    def there(self) -> set[str]:
+        return self.words | self.joined
 
 
-def holds_run(around: Around, doc: list[int], item: list[int], seeds: list[tuple[int, int]], term: dict[str, int], spelled: list[str], rarity: list[float], runs: dict[str, list[tuple[int, int]]]) -> bool:
+def holds_run(around: Around, doc: list[int], item: list[int], seeds: list[tuple[int, int]], rarity: list[float], spelled: list[str], runs: dict[str, list[tuple[int, int]]]) -> bool:
     """Whether around one of the seeds 16 words of the item or more stand in order with errors below one in eight.
 
-    runs: what neighbouring words of the item make together, and where. rarity: by word, how telling it is. Where words differ, those that agree must be as telling as the ones that don't: a
-    phrase in common use, filled with other names, is no part of the item.
+    spelled: the words of the item; runs: what neighbouring ones make together, and where. rarity: by word, how telling it is.
+    Where words differ, those that agree must be as telling as the ones that don't: a phrase in common use, filled with other
+    names, is no part of the item.
     """
+    there = [x in around.there for x in spelled]
+    # words of the item that stand there run together are there too
+    together = [k + m for text in around.words.intersection(runs) for k, b in runs[text] for m in range(b)]
+    for k in together:
+        there[k] = True
+    # half of a run of 32 words or more is one too, so if there is any, one has up to 31 words and 3 errors
+    gaps = [-1, *[k for k, x in enumerate(there) if not x], len(there)]
+    if len(gaps) > 5 and not any(b - a > n for e, n in ((1, RUN), (2, 2 * PART + 1), (3, 3 * PART + 1)) for a, b in zip(gaps, gaps[e + 1 :], strict=False)):
+        return False
     weight, words = [rarity[x] for x in item], around.all
 
     def joined(d: int, b: int, i: int, a: int, step: int) -> bool:
         lo = d if step > 0 else d - b + 1
         text = "".join(words[max(lo, 0) : max(lo, 0) + b])
-        return a == 1 and b > 1 and term.get(text) == item[i]
+        return a == 1 and b > 1 and text == spelled[i]
 
     def whole(of_doc: bool, at: int, b: int, step: int) -> str | None:
         """What b words, the last of them taken at the place `at`, make together."""
         lo = at - b + 1 if step > 0 else at
         if lo < 0 or lo + b > (len(words) if of_doc else len(item)):
             return None
-        return "".join(words[lo : lo + b] if of_doc else [spelled[x] for x in item[lo : lo + b]])
+        return "".join(words[lo : lo + b] if of_doc else spelled[lo : lo + b])
 
     def enough(left: list[Way], right: list[Way], own: float) -> bool:
         if left[-1][0] + SEED + right[-1][0] < RUN:
@@ -402,17 +489,11 @@ def holds_run(around: Around, doc: list[int], item: list[int], seeds: list[tuple
                         return True
         return False
 
-    there = [(x := spelled[y]) in around.words or x in around.joined for y in item]
-    # words of the item that stand there run together are there too
-    for text in around.words.intersection(runs):
-        for k, b in runs[text]:
-            there[k : k + b] = [True] * b
-
-    def ways(places) -> list[Way]:
+    def ways(places, found) -> list[Way]:
         out, n, e, hit, miss = [(0, 0, LEAST, LEAST)], 0, 0, LEAST, LEAST
         for k in places:
             n += 1
-            if there[k]:
+            if found(k):
                 hit = max(hit, weight[k])
                 out.append((n, e, hit, miss))
             else:
@@ -424,7 +505,7 @@ def holds_run(around: Around, doc: list[int], item: list[int], seeds: list[tuple
     @cache
     def possible(i: int) -> bool:
         """Whether some alignment around words i to i + SEED can do: what the document has nowhere is an error in each."""
-        return enough(ways(range(i - 1, -1, -1)), ways(range(i + SEED, len(item))), max(weight[i : i + SEED]))
+        return enough(ways(range(i - 1, -1, -1), there.__getitem__), ways(range(i + SEED, len(item)), there.__getitem__), max(weight[i : i + SEED]))
 
     seen: set[tuple[int, int]] = set()
     apart = []
@@ -438,11 +519,28 @@ def holds_run(around: Around, doc: list[int], item: list[int], seeds: list[tuple
                 return True
     if not apart:
         return False
-    how = (whole, weight, [spelled[x] in around.joined for x in item], words, runs)
-    return any(
-        enough(_aligned(doc, d - 1, item, i - 1, *how, -1), _aligned(doc, d + SEED, item, i + SEED, *how, 1), own)
-        for d, i, own in apart
-    )
+    parted = [x in around.joined for x in spelled]
+    apieces = parted.copy()
+    for k in together:
+        apieces[k] = True
+    how = (whole, weight, parted, words, runs)
+
+    def banded(d: int, i: int, own: float) -> bool:
+        """Whether an alignment in the band will do; each side is only worked out while the words that stand in the band allow it."""
+
+        def within(k: int) -> bool:
+            if apieces[k]:
+                return True
+            lo = d + k - i - BAND
+            return item[k] in doc[max(lo, 0) : max(lo + 2 * BAND + 1, 0)]
+
+        right = ways(range(i + SEED, len(item)), within)
+        if not enough(ways(range(i - 1, -1, -1), within), right, own):
+            return False
+        left = _aligned(doc, d - 1, item, i - 1, *how, -1)
+        return enough(left, right, own) and enough(left, _aligned(doc, d + SEED, item, i + SEED, *how, 1), own)
+
+    return any(banded(*seed) for seed in apart)
 
 
 _BUILT: dict[str, ItemIndex] = {}

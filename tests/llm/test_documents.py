@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from legistra.llm import contamination as ct
@@ -111,6 +112,41 @@ def test_many_items_in_little_memory():
     assert own.leaked([ct.words_of(noise + " " + " ".join(items[777][1].split()[10:40]) + " " + noise)]) == [[777]]
 
 
+def test_words_out_of_place_are_not_aligned(monkeypatch):
+    # every word of the item is there and both halves are in order, but no 16 words in a row: that shows without an alignment
+    calls, aligned = [], ct._aligned
+    monkeypatch.setattr(ct, "_aligned", lambda *a: calls.append(a) or aligned(*a))
+    words = [f"word{k}" for k in range(24)]
+    own = ct.ItemIndex([(1, " ".join(words))])
+    halves = [*words[12:], *words[:12]]
+    assert len(own.retrieve(np.array([own.word[x] for x in halves]))[0])
+    assert own.leaked([halves]) == [[]]
+    assert not calls
+    assert own.leaked([[*words[:8], "xx", words[9], "yy", *words[11:]]]) == [[1]]
+    assert calls
+
+
+def test_ascii_words_by_tables():
+    rng = random.Random(5)
+    for _ in range(20_000):
+        s = "".join(rng.choice("abzAZ09   --..|'_*`^~=,<&;\n\t\x1c") for _ in range(rng.randrange(16)))
+        plain = ct._STRAY.sub(ct._after_letter, ct._BROKEN.sub(ct._after_letter, ct._TAG.sub(" ", s))).lower()
+        assert ct.words_of(s) == ct._WORD.findall(plain), s
+
+
+def test_sparse_sums_find_the_same(monkeypatch):
+    rng = random.Random(3)
+    common = [f"w{k}" for k in range(60)]
+    items = [(i, " ".join(rng.choice(common) for _ in range(40))) for i in range(50)]
+    texts = [[rng.choice(common) for _ in range(30)] + rng.choice(items)[1].split()[k : k + 20] + common for k in range(20)]
+    own = ct.ItemIndex(items)
+    found = own.leaked(texts)
+    assert all(found)
+    for dense in (1, 100):
+        monkeypatch.setattr(ct, "DENSE", dense)
+        assert own.leaked(texts) == found
+
+
 # ---------------------------------------------------------------- languages
 
 
