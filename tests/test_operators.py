@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from legistra.functions.ids import canonical_doc, canonical_node
@@ -94,6 +95,24 @@ def test_bm25_against_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-4 for x in want)
 
 
+def test_tree_search_keeps_small_plans(spark, sf):
+    # picks and leaves are kept once they are found, so that a plan doesn't repeat them for every reader
+    plan = search.r_hybrid_tree(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 20
+
+
+@pytest.mark.parametrize("key", ["int", "string"])
+def test_best_by_blocks_are_those_of_all_scores(spark, monkeypatch, key):
+    monkeypatch.setattr(rt, "_blocks", lambda batches, blocks=rt._blocks: blocks(batches, 5, 70))
+    texts = [" ".join(f"w{int((i * 37 + j * j * 11) % 101) % (2 + j * 3)}" for j in range(i % 23)) for i in range(400)]
+    d = spark.createDataFrame([*enumerate(texts), (400, "w1 lone")], "k int, t string").withColumn("k", F.col("k").cast(key)).repartition(2)
+    q = spark.createDataFrame([(i, f"w{i} w{i} w1 w{i % 7 + 20} w0") for i in range(30)] + [(90, ""), (91, "unseen"), (92, "lone")], "query_id int, query string")
+    got = {(r.query_id, r["rank"]): (r.k, r.score) for r in rt.bm25_top(q, d, "k", "t", 7, block=11).collect()}
+    want = {(r.query_id, r["rank"]): (r.k, r.score) for r in rt.top_k(rt.bm25_scores(q, d, ["k"], "t"), 7, ["k"]).collect()}
+    assert len(got) > 150 and got.keys() == want.keys()
+    assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-4 for x in want)
+
+
 def test_rank_lists(spark):
     L = lambda s: spark.createDataFrame([(1, x, i) for i, x in enumerate(s, 1)], "query_id int, i string, rank int")
     order = lambda d: "".join(r.i for r in d.orderBy("rank").collect())
