@@ -101,6 +101,12 @@ def test_tree_search_keeps_small_plans(spark, sf):
     assert plan.count("Exchange hashpartitioning") < 20
 
 
+@pytest.mark.parametrize("name", ["r_bm25_flat_top10", "r_bm25_candidates20"])
+def test_flat_search_makes_no_row_of_a_pair(spark, sf, name):
+    plan = getattr(search, name)(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 @pytest.mark.parametrize("key", ["int", "string"])
 def test_best_by_blocks_are_those_of_all_scores(spark, monkeypatch, key):
     monkeypatch.setattr(rt, "_blocks", lambda batches, blocks=rt._blocks: blocks(batches, 5, 70))
