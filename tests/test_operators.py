@@ -166,6 +166,19 @@ def test_beam_goes_down_by_summaries(spark, tmp_path):
     assert got["f"].found_in == 1 and {f"e{i}" for i in range(1, 5)} <= set(got) and len(got) == 9
 
 
+def test_beam_keeps_texts_once_a_document(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(rt, "cut", lambda df, cut=rt.cut: kept.append(cut(df)) or kept[-1])
+    nodes = spark.createDataFrame(
+        [("d", f"n{i}", "", str(i), "leaf", f"late fee {i}", i) for i in range(1, 5)] + [("e", "a", "", "1", "part", "", 9), ("e", "b", "a", "1.1", "leaf", "boat fee", 10)],
+        "doc_id string, node_id string, parent_id string, ord_path string, label string, search_text string, load_id bigint",
+    )
+    picks = spark.createDataFrame([(q, "boat fee", d) for q in range(20) for d in "de"], "query_id bigint, query string, doc_id string")
+    got = {(r.query_id, r["rank"]): r.load_id for r in rt.bm25_tree(picks, nodes).collect()}
+    assert {got[q, 1] for q in range(20)} == {10} and {got.get((q, 2)) for q in range(20)} == {1}
+    assert sum(d.count() for d in kept if "search_text" in d.columns) == 6
+
+
 def test_tournament_runs_to_its_end(spark, tmp_path):
     rows = [(1, i, float(i % 97)) for i in range(200)] + [(2, i, 1.0) for i in range(3)]
     spark.createDataFrame(rows, "query_id bigint, cand_id bigint, llm_score double").write.parquet(f"{tmp_path}/retrieved.parquet")
