@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from legistra.session import cut, persist_table
 
 # What is taken out of page texts, or put right in them, as (pattern, replacement), in this order.
 PAGE_FIXES = (
@@ -32,6 +38,7 @@ ARTICLE_HEADING = r"(?m)^\s*[Pp]asa[l1]\s+\d+[A-Z]?\b"
 NOTHING_TO_SAY = "Cukup jelas."
 STRUCTURAL = ("ayat", "pasal", "huruf", "angka", "dan", "atau", "sampai")
 WHOLE_CHARS, WHOLE_ARTICLES, PAGES, OVERLAP = 120_000, 35, 10, 4
+FIRSTS = 256  # beginnings of titles that pages are searched for, at most
 
 
 def cleaned_page(text: Column) -> Column:
@@ -139,13 +146,47 @@ def navigation_paths(tree: DataFrame, key: str) -> DataFrame:
     return met.groupBy(key, "ord_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "t"))), lambda x: x["t"]), " > ").alias("path"))
 
 
-def title_pages(current: DataFrame, pages: DataFrame) -> DataFrame:
-    """granularity, doc_id, node_id, found_page: the first page that holds the first 40 characters of a node's title, or the node's own."""
+def title_pages(current: DataFrame, pages: DataFrame, much: int = 4_000_000) -> DataFrame:
+    """granularity, doc_id, node_id, found_page: the first page that holds the first 40 characters of a node's title, or the node's own.
+
+    Titles are sought in every page of their document, but for documents of more than `much` characters times titles: there
+    the pieces of a page that begin and end like some title are joined with the titles, which goes with the length of the pages.
+    """
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     titles = current.select("granularity", "doc_id", "node_id", "start_index", F.substring(squeeze(F.col("title")), 1, 40).alias("needle")).where("needle is not null and needle <> ''")
-    on = (F.col("t.doc_id") == F.col("p.doc_id")) & F.contains(squeeze(F.col("p.raw_text")), F.col("t.needle"))
-    met = titles.alias("t").join(pages.alias("p"), on, "left")
-    return met.groupBy("t.granularity", "t.doc_id", "t.node_id").agg(F.coalesce(F.min("p.page_num"), F.min("t.start_index")).alias("found_page"))
+    titles, pages = cut(titles), persist_table(pages.select("doc_id", "page_num", squeeze(F.col("raw_text")).alias("page")).where("page is not null"), "pages")
+    needles = titles.select("doc_id", "needle").distinct()
+    kinds = needles.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.collect_set(F.length("needle")).alias("sizes"),
+        *[F.slice(F.collect_set(F.substring("needle", 1, q)), 1, FIRSTS + 1).alias(f"first{q}") for q in (5, 1)],
+    )
+    length = pages.groupBy("doc_id").agg(F.sum(F.length("page")).alias("chars"))
+    few = lambda c: F.when(F.size(c) <= FIRSTS, F.col(c))
+    long = cut(kinds.join(length, "doc_id").where(F.col("n") * F.col("chars") > much).select("doc_id", "sizes", F.coalesce(few("first5"), few("first1")).alias("firsts")))
+    names = long.select("doc_id")
+
+    plain = needles.join(names, "doc_id", "left_anti").join(pages.join(names, "doc_id", "left_anti"), "doc_id").where(F.contains("page", "needle")).select("doc_id", "needle", "page_num")
+    pieces = pages.join(long, "doc_id").select("doc_id", "page_num", "page", "firsts", "sizes").mapInPandas(_pieces, StructType([pages.schema[c] for c in ("doc_id", "page_num")]).add("needle", "string"))
+    found = plain.unionByName(pieces.join(needles, ["doc_id", "needle"], "left_semi").select("doc_id", "needle", "page_num"))
+    first = found.groupBy("doc_id", "needle").agg(F.min("page_num").alias("page_num"))
+    return titles.join(first, ["doc_id", "needle"], "left").groupBy("granularity", "doc_id", "node_id").agg(F.coalesce(F.min("page_num"), F.min("start_index")).alias("found_page"))
+
+
+def _pieces(frames: Iterator[pd.DataFrame], step: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Of each page every piece of one of the `sizes` that begins with one of the `firsts`, or anywhere if there are none given."""
+    for pdf in frames:
+        for r in pdf.itertuples(index=False):
+            sizes, last = sorted(int(n) for n in r.sizes), len(r.page)
+            for start in range(0, last, step):
+                end = min(start + step, last)
+                at = set(range(start, end)) if r.firsts is None else set()
+                for f in r.firsts if r.firsts is not None else ():
+                    i = r.page.find(f, start)
+                    while -1 < i < end:
+                        at.add(i)
+                        i = r.page.find(f, i + 1)
+                found = {r.page[i : i + n] for i in at for n in sizes if i + n <= last}
+                yield pd.DataFrame({"doc_id": r.doc_id, "page_num": r.page_num, "needle": list(found)})
 
 
 def with_newlines(text: Column) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,29 @@ def test_cleaned_pages(spark):
     assert got[1][0] is None and got[2][0] == ""
 
 
+@pytest.mark.parametrize(("much", "firsts"), [(4_000_000, 256), (0, 256), (0, 3), (0, 1)])
+def test_pages_of_titles(spark, monkeypatch, much, firsts):
+    monkeypatch.setattr(ps, "FIRSTS", firsts)
+    titles = ["Pasal 1", "Pasal  12", "Pasal 3", "aab", "x" * 50, "Judul yang dibaca sampai empat puluh huruf saja", "\u00e9\U0001f600 b", "ab", None, " "]
+    current = spark.createDataFrame([("pasal", d, f"n{i}", 9, t) for d in "de" for i, t in enumerate(titles)], "granularity string, doc_id string, node_id string, start_index int, title string")
+    texts = [(1, "Pasal\n 12 aaab"), (2, "Pasal 3"), (3, "y" + "x" * 45), (4, "ini Judul yang dibaca  sampai empat puluh huruf lagi"), (5, "\u00e9\n\U0001f600 \u00e9\U0001f600\tb"), (6, "Pasal 3 Pasal 1 aab"), (7, None)]
+    pages = spark.createDataFrame([("d", *x) for x in texts], "doc_id string, page_num int, raw_text string")
+    got = {(r.doc_id, r.node_id): r.found_page for r in ps.title_pages(current, pages, much).collect()}
+    assert got == {("d", f"n{i}"): p for i, p in enumerate([1, 1, 2, 1, 3, 4, 5, 1])} | {("e", f"n{i}"): 9 for i in range(8)}
+
+
+def test_titles_of_a_long_regulation(spark):
+    # 9,000 titles in 4 pages of 300,000 characters and more: seconds, not a search of every page for every title
+    n, per = 9000, 2250
+    current = spark.range(1, n + 1).selectExpr("'pasal' as granularity", "'d' as doc_id", "concat('pasal_', id) as node_id", "cast(0 as int) as start_index", "concat('Pasal ', id) as title")
+    texts = [(p + 1, "\n".join(f"Pasal {i}\n" + "isi  ketentuan " * 10 for i in range(p * per + 1, (p + 1) * per + 1))) for p in range(4)]
+    pages = spark.createDataFrame([("d", *x) for x in texts], "doc_id string, page_num int, raw_text string")
+    began = time.time()
+    got = {r.node_id: r.found_page for r in ps.title_pages(current, pages).collect()}
+    assert time.time() - began < 20
+    assert got == {f"pasal_{i}": min(p for p, t in texts if f"Pasal {i}" in t) for i in range(1, n + 1)}
+
+
 def test_article_chunks_reach_the_last_page(spark):
     pages = spark.createDataFrame([("d", p, f"Pasal {p}\nisi") for p in range(1, 9)] + [("e", 1, "Pasal 1"), ("f", 1, None)], "doc_id string, page_num int, raw_text string")
     got = [(r.chunk_no, r.first_page, r.last_page) for r in ps.article_chunks(pages, 3).orderBy("chunk_no").collect()]
