@@ -95,9 +95,10 @@ def test_bm25_against_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-4 for x in want)
 
 
-def test_tree_search_keeps_small_plans(spark, sf):
+@pytest.mark.parametrize("name", ["r_hybrid_tree", "r_hybrid_tree_rrf"])
+def test_tree_search_keeps_small_plans(spark, sf, name):
     # picks and leaves are kept once they are found, so that a plan doesn't repeat them for every reader
-    plan = search.r_hybrid_tree(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    plan = getattr(search, name)(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") < 20
 
 
